@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textkern as tk
+from .common import arrow_batches
 
 WIDE = 128
 NONE = np.int64(1) << 62
@@ -315,6 +316,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, n_bytes and whether the ids decode to the same bytes; a row for each row, no shuffle.
 
     A null text gives nulls, an empty text no ids. Other columns aren't read."""
+    arrow_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,6 +342,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id and the text of each row's ``ids``; null ids give a null text, no ids an empty one. Unknown ids are an error."""
+    arrow_batches(encoded.sparkSession)
     raw = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch. The default of 10,000 whole texts would hold tens of MB in the JVM and in each worker.
+ARROW_ROWS = "500"
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small, unless the session has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    arrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again: a short lineage that outlives executors."""
     spark = df.sparkSession
+    arrow_batches(spark)
     path = f"{shared_dir(spark)}/hushgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

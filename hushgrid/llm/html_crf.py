@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_batches
+
 DIM = 1 << 13
 #: Bound of the training sample: about so many labelled pages, chosen by a hash of page_id.
 TRAIN_PAGES = 400
@@ -299,6 +301,7 @@ def train(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_PAGES) -> Model |
 
 def extract(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_PAGES) -> DataFrame:
     """page_id, text of the content blocks (a line each), and how many blocks there are and are content; one narrow pass after training."""
+    arrow_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(train(pages, docs, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as tk
-from .common import fresh
+from .common import arrow_batches, fresh
 
 BINS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -213,6 +213,7 @@ def accepted(lang: list[str | None], prob: list[float | None], grams: np.ndarray
 
 def identify(docs: DataFrame, per_class: int = TRAIN_PER_CLASS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """doc_id, declared label, predicted language, calibrated probability, accepted or not; a row for each row."""
+    arrow_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +228,7 @@ def identify(docs: DataFrame, per_class: int = TRAIN_PER_CLASS, min_confidence:
 
 def keep_accepted(docs: DataFrame, per_class: int = TRAIN_PER_CLASS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """The rows with an accepted language, all their columns unchanged; one narrow pass after training."""
+    arrow_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, per_class))
     at = fresh(docs.columns, "text_to_identify")
 

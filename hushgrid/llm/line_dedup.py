@@ -100,6 +100,10 @@ def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edit
     return np.concatenate(keys), np.concatenate(left), np.concatenate(out)
 
 
+def _points(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.int32)
+
+
 def _plain_distance(x: np.ndarray, y: np.ndarray) -> int:
     row = np.arange(len(y) + 1)
     for i, c in enumerate(x.tolist(), 1):
@@ -123,7 +127,7 @@ def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray], edits: int) -> np
         return out
     la, lb = la[todo], lb[todo]
     n, columns, w = len(todo), int(lb.max()), 2 * edits + 1
-    A, B = np.full((n, columns + w), -1, np.int64), np.full((n, columns), -2, np.int64)
+    A, B = np.full((n, columns + w), -1, np.int32), np.full((n, columns), -2, np.int32)
     for r, i in enumerate(todo):
         k = min(len(xs[i]), columns + edits)
         A[r, edits : edits + k] = xs[i][:k]  # shifted, so that column j of B meets A[:, j : j + w]
@@ -185,12 +189,12 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([np.frombuffer(v.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64) for v in batch.column(k).to_pylist()] for k in (2, 3))
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             order = np.argsort([len(v) for v in x], kind="stable")
             keep = np.zeros(len(x), bool)
-            for block in np.array_split(order, max(1, sum(map(len, x)) // 400_000)):
+            for block in np.array_split(order, max(1, sum(map(len, x)) // 200_000)):
                 if len(block):
-                    keep[block] = edit_distances([x[i] for i in block], [y[i] for i in block], edits) <= edits
+                    keep[block] = edit_distances([_points(x[i]) for i in block], [_points(y[i]) for i in block], edits) <= edits
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     seen = materialise(docs.mapInArrow(occur, "id long, doc_id long, line long"))

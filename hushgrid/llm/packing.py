@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import arrow_batches
 
 CAPACITY = 2048
 SHARD_ROWS = 50_000
@@ -58,6 +59,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def lengths(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id and exact number of tokens of each row; no shuffle."""
+    arrow_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(bpe.read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

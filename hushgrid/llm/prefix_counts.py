@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from . import bpe
 from . import textkern as tk
+from .common import arrow_batches
 
 BUDGETS = (512, 1024, 2048, 4096, 8192)
 COUNTED = "doc_id long, n_chars long, n_tokens long, width int, deltas binary, " + ", ".join(f"chars_{b} long" for b in BUDGETS)
@@ -213,6 +214,7 @@ def counter(raw: bytes) -> Counter:
 
 def count(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, characters, tokens, the prefix counts as differences of ``width`` bytes each, and for each budget the characters of the longest prefix within it. No shuffle."""
+    arrow_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(bpe.read_vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

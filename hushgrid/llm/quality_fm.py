@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as tk
-from .common import fresh
+from .common import arrow_batches, fresh
 
 WORDS = 1 << 16
 META = 1 << 10
@@ -209,6 +209,7 @@ def kept(quality: np.ndarray | None, toxic: np.ndarray | None, n: int, min_quali
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC) -> DataFrame:
     """doc_id, both probabilities, kept or not; a row for each row, one narrow pass after training."""
+    arrow_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_qua
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC) -> DataFrame:
     """The rows that both machines let pass, all their columns unchanged."""
+    arrow_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
     extra = [fresh(docs.columns, f"{c}_to_score") for c in ("text", "lang", "source")]
 

@@ -73,7 +73,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 19) -> list[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     out, a, n = [], 0, len(offsets) - 1
     while a < n:
