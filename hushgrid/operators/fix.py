@@ -47,7 +47,7 @@ def fixed(files: DataFrame, action: str, options: ScanOptions | None = None) ->
     o = options or ScanOptions()
     found = raw_findings(files, o).select("path", "pattern_id", "ordinal", "line", "column", "secret")
     lined = files.select("path", "content").join(found, "path")
-    before = F.substring_index("content", "\n", F.col("line") - 1)
+    before = F.call_function("substring_index", F.col("content"), F.lit("\n"), F.col("line") - 1)
     head = F.when(F.col("line") > 1, F.char_length(before) + 1).otherwise(0)
     placed = lined.withColumn("chars", (head + F.col("column") - 1).cast("int"))
     edits = placed.select("path", "content", "ordinal", _edits(action, o.marker).alias("e")).where("e.new is not null")
