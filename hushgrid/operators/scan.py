@@ -1,7 +1,7 @@
 """The scan: files (path, content) to findings.
 
 Plan: a narrow prefilter (one trie-shaped regex over the lower-cased text) names the candidate patterns of each file; only these rows
-are exploded, and a CASE runs the literal regex of each candidate. Everything stays in the JVM and without a shuffle; only assignments
+are exploded and joined with the broadcast regex of each candidate. Everything stays in the JVM and without a shuffle; only assignments
 in source code, for the files that have a trigger word, go through Arrow. The dedup of generic findings shuffles findings, not texts.
 """
 
@@ -37,30 +37,27 @@ def prefilter(files: DataFrame, registry: Registry) -> DataFrame:
 
 def _candidates(hits: Column, registry: Registry, wanted: list[int]) -> Column:
     """Ordinals of the wanted patterns that a hit selects, and of those without keywords."""
-    keep = set(wanted)
-    pairs = [x for w, ids in sorted(registry.keywords().items()) if (ok := [i for i in ids if i in keep]) for x in (F.lit(w), F.array(*map(F.lit, ok)))]
+    keep, quoted = set(wanted), lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = [f"{quoted(w)}, array({', '.join(map(str, ok))})" for w, ids in sorted(registry.keywords().items()) if (ok := [i for i in ids if i in keep])]
     always = [i for i in wanted if not registry.patterns[i].keywords]
-    found = F.flatten(F.transform(hits, lambda h: F.coalesce(F.create_map(*pairs)[h], F.array().cast("array<int>")))) if pairs else F.array().cast("array<int>")
+    known, none = F.expr(f"map({', '.join(pairs)})"), F.expr("cast(array() as array<int>)")  # as text: one call to the JVM
+    found = F.flatten(F.transform(hits, lambda h: F.coalesce(known[h], none))) if pairs else none
     return F.array_distinct(F.concat(found, F.array(*map(F.lit, always)).cast("array<int>"))) if always else F.array_distinct(found)
 
 
-def _by_pattern(ordinals: list[int], value) -> Column:
-    out = F.when(F.col("ordinal") == ordinals[0], value(ordinals[0]))
-    for i in ordinals[1:]:
-        out = out.when(F.col("ordinal") == i, value(i))
-    return out
-
-
 def regex_matches(files: DataFrame, registry: Registry, ordinals: list[int]) -> DataFrame:
-    """(…, ordinal, secret, chars): every leftmost non-overlapping match, with the characters before it."""
-    rx = {i: registry.patterns[i].regex for i in ordinals}
-    hit = files.where(F.size("candidates") > 0).select("path", "content", F.explode("candidates").alias("ordinal"))
-    found = hit.withColumn("m", _by_pattern(ordinals, lambda i: F.regexp_extract_all("content", F.lit(rx[i]), F.lit(0))))
-    each = found.select("path", "content", "ordinal", "m", F.posexplode("m").alias("i", "secret"))
-    gaps = each.withColumn("g", _by_pattern(ordinals, lambda i: F.split("content", rx[i], -1)))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.char_length(x))
-    chars = total(F.slice("g", F.lit(1), F.col("i") + 1)) + total(F.slice("m", F.lit(1), F.col("i")))
-    return gaps.select("path", "content", "ordinal", "secret", F.col("secret").alias("value"), chars.alias("chars"))
+    """(…, ordinal, secret, value, chars): every leftmost non-overlapping match, with the characters before it.
+
+    The regex comes from a broadcast table of fixed size, so the plan doesn't grow with the patterns; the engine compiles it once a
+    candidate, which is little beside matching it over a text."""
+    rx = files.sparkSession.createDataFrame([(i, registry.patterns[i].regex) for i in ordinals], "ordinal int, rx string")
+    hit = files.where(F.size("candidates") > 0).select("path", "content", F.explode("candidates").alias("ordinal")).join(F.broadcast(rx), "ordinal")
+    found = hit.withColumn("m", F.regexp_extract_all("content", F.col("rx"), F.lit(0))).where(F.size("m") > 0)
+    sized = found.withColumns({"gaps": F.transform(F.split("content", F.col("rx"), -1), F.char_length), "sizes": F.transform("m", F.char_length)})
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+    place = lambda i: total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("sizes", F.lit(1), i))
+    each = F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i + 1).alias("secret"), place(i).alias("chars")))
+    return sized.select("path", "content", "ordinal", F.explode(each).alias("x")).select("path", "content", "ordinal", F.col("x.secret").alias("secret"), F.col("x.secret").alias("value"), F.col("x.chars").alias("chars"))
 
 
 def enrich(matches: DataFrame, registry: Registry, marker: str) -> DataFrame:
@@ -147,5 +144,5 @@ def context_lines(findings: DataFrame, files: DataFrame, around: int = 1) -> Dat
     lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "text")).withColumn("number", (F.col("n") + 1).cast("int"))
     masked = findings.groupBy("path", "line").agg(F.max_by("masked_line", F.struct(-F.col("byte_start"))).alias("masked_line"))
     shown = lines.join(findings.select("path").distinct(), "path", "left_semi").join(masked.withColumnRenamed("line", "number"), ["path", "number"], "left").select("path", "number", F.coalesce("masked_line", "text").alias("text"))
-    around_each = findings.select("id", "path", "byte_start", "line", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).cast("int").alias("number"))
+    around_each = findings.select("id", "path", "byte_start", "line", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("number"))
     return around_each.join(shown, ["path", "number"]).select("id", "path", "byte_start", "number", "text", (F.col("number") == F.col("line")).alias("is_finding"))

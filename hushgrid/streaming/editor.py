@@ -115,7 +115,8 @@ def ago(then: Column, now: Column) -> Column:
 def fresh_verifications(requests: DataFrame, verified: DataFrame, ttl_s: int = VERIFICATION_TTL_S) -> DataFrame:
     """Of requests (id, ts): the latest verification (id, status, ts) that is at most ``ttl_s`` seconds old, if there is one."""
     v = verified.select(F.col("id").alias("v_id"), F.col("status"), F.col("ts").alias("v_ts"))
-    age = F.col("ts").cast("double") - F.col("v_ts").cast("double")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    age = seconds("ts") - seconds("v_ts")
     known = requests.join(v, (F.col("id") == F.col("v_id")) & (age >= 0) & (age <= ttl_s), "left")
     return known.groupBy("id", "ts").agg(F.max_by("status", "v_ts").alias("status"))
 
