@@ -257,14 +257,14 @@ def _counts(deltas: bytes, width: int) -> np.ndarray:
 
 @F.pandas_udf(T.LongType())
 def _tokens_at(deltas: pd.Series, width: pd.Series, chars: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None or w is None or k is None else 0 if k <= 0 or not d else int(_counts(d, int(w))[min(int(k), len(d) // int(w)) - 1]) for d, w, k in zip(deltas, width, chars, strict=True)], dtype="Int64")
+    return pd.Series([None if d is None or pd.isna(k) else 0 if k <= 0 or not d else int(_counts(d, int(w))[min(int(k), len(d) // int(w)) - 1]) for d, w, k in zip(deltas, width, chars, strict=True)], dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())
 def _chars_within(deltas: pd.Series, width: pd.Series, budget: pd.Series) -> pd.Series:
     out = []
     for d, w, k in zip(deltas, width, budget, strict=True):
-        if d is None or w is None or k is None:
+        if d is None or pd.isna(k):
             out.append(None)
             continue
         inside = np.flatnonzero(_counts(d, int(w)) <= k)
