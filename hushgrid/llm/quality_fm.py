@@ -1,8 +1,9 @@
 """Quality classifier: factorisation machines over hashed words, structure statistics and metadata.
 
 A score is ``b + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``: the sum-of-squares identity, linear in the
-non-zero features. Two machines share one pass over the features: one for quality, one for toxicity. Both are fitted by
-AdaGrad on a bounded sample of labelled rows.
+non-zero features. Two machines share one pass over the features: one for quality, to which a word counts by its share of the text, one
+for toxicity, to which it counts as much in a long text as in a short one. Both are fitted by AdaGrad on a bounded sample of labelled rows,
+over the features that occur often enough in it.
 
 Defined cases: a null text counts as empty; an empty text has structure and metadata features only; null labels aren't trained
 on; a doc_id with several labels is trained on each; without labelled rows probabilities are null and all rows are kept, and so for
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textkern as tk
 from .common import arrow_batches, fresh
 
-WORDS = 1 << 16
+WORDS = 1 << 20
 META = 1 << 10
 STEPS = 16
 N_STATS = 12
@@ -32,6 +33,8 @@ DIM = WORDS + META + STEPS * N_STATS
 RANK = 8
 #: Bound of the training sample: about so many labelled rows, chosen by a hash of doc_id.
 TRAIN_ROWS = 6000
+#: Share of the sample's rows, and number of rows, that a feature must occur in to be a feature: what is rarer is learnt by heart.
+MIN_SHARE, MIN_ROWS = 0.0075, 3
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 
 
@@ -39,8 +42,8 @@ def by_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, weights=values, minlength=n)
 
 
-def features(data: np.ndarray, off: np.ndarray, meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, feature and value of every non-zero feature, by text. ``meta``: a hash of each metadata column."""
+def features(data: np.ndarray, off: np.ndarray, meta: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature, and values for quality and for toxicity of every non-zero feature, by text. ``meta``: a hash of each metadata column."""
     t = tk.Text(data, off)
     n, tab = len(t.at) - 1, tk.tables()
     h, text, ws, we = tk.words(t)
@@ -84,14 +87,15 @@ def features(data: np.ndarray, off: np.ndarray, meta: list[np.ndarray]) -> tuple
         counts((t.cp == 46) | (t.cp == 44)) / words_ * 2,
     ]
     value = np.log1p(c)
+    plain = 0.5 * np.minimum(value / np.log(2), 1.2)
     norm = np.sqrt(by_text(value * value, ut, n))
     value = value / np.maximum(1e-9, norm[ut]) * 2
     rows = [ut, *[np.arange(n)] * (N_STATS + len(meta))]
     index = [ub, *[WORDS + META + k * STEPS + np.clip((s * STEPS).astype(np.int64), 0, STEPS - 1) for k, s in enumerate(stats)], *[WORDS + (m % META) for m in meta]]
-    vals = [value, *[np.full(n, 0.5)] * N_STATS, *[np.full(n, 0.25)] * len(meta)]
-    r, i, v = np.concatenate(rows), np.concatenate(index), np.concatenate(vals)
+    rest = [*[np.full(n, 0.5)] * N_STATS, *[np.full(n, 0.25)] * len(meta)]
+    r, i, v, p = np.concatenate(rows), np.concatenate(index), np.concatenate([value, *rest]), np.concatenate([plain, *rest])
     order = np.argsort(r, kind="stable")
-    return r[order], i[order].astype(np.int64), v[order].astype(np.float32)
+    return r[order], i[order].astype(np.int64), v[order].astype(np.float32), p[order].astype(np.float32)
 
 
 def meta_hash(column: pa.Array, salt: int) -> np.ndarray:
@@ -123,15 +127,15 @@ class Machine:
         return out
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.15, l2: float = 1e-5) -> Machine | None:
-    """AdaGrad on the logistic loss, classes weighted to equal sums; None if only one class is there."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int = 8, rate: float = 0.15, l2: float = 1e-5) -> Machine | None:
+    """AdaGrad on the logistic loss, the rarer class weighted by the root of what would make sums equal; None if only one class is there."""
     ys = np.array([y for y, _, _ in rows])
     if not len(ys) or ys.min() == ys.max():
         return None
-    weight = {1: 0.5 * len(ys) / ys.sum(), 0: 0.5 * len(ys) / (len(ys) - ys.sum())}
+    weight = {1: (0.5 * len(ys) / ys.sum()) ** 0.5, 0: (0.5 * len(ys) / (len(ys) - ys.sum())) ** 0.5}
     rng = np.random.default_rng(11)
-    w, v = np.zeros(DIM, np.float32), (rng.standard_normal((DIM, RANK)) * 0.02).astype(np.float32)
-    gw, gv, b, gb = np.full(DIM, 1e-2, np.float32), np.full((DIM, RANK), 1e-2, np.float32), 0.0, 1e-2
+    w, v = np.zeros(dim, np.float32), (rng.standard_normal((dim, RANK)) * 0.02).astype(np.float32)
+    gw, gv, b, gb = np.full(dim, 1e-2, np.float32), np.full((dim, RANK), 1e-2, np.float32), 0.0, 1e-2
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             y, i, x = rows[k]
@@ -154,6 +158,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, rate: f
 class Model:
     quality: Machine | None
     toxic: Machine | None
+    dense: np.ndarray | None = None  # the number of each feature, -1 for those left out
 
 
 def metadata(batch: pa.RecordBatch, at: list[int]) -> list[np.ndarray]:
@@ -174,16 +179,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             data, off = tk.utf8(batch.column(1))
             meta = metadata(batch, [2, 3])
             for a, b in tk.chunks(off):
-                r, i, x = features(data[off[a] : off[b]], off[a : b + 1], [m[a:b] for m in meta])
+                r, i, x, plain = features(data[off[a] : off[b]], off[a : b + 1], [m[a:b] for m in meta])
                 to = np.searchsorted(r, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in (0, 4, 5)), pa.array([i[p:q].astype(np.int32).tobytes() for p, q in zip(to[:-1], to[1:], strict=True)]), pa.array([x[p:q].tobytes() for p, q in zip(to[:-1], to[1:], strict=True)])],
-                    names=["doc_id", "quality", "toxic", "i", "x"],
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 4, 5)), pa.array([i[p:q].astype(np.int32).tobytes() for p, q in zip(to[:-1], to[1:], strict=True)]), *(pa.array([v[p:q].tobytes() for p, q in zip(to[:-1], to[1:], strict=True)]) for v in (x, plain))],
+                    names=["doc_id", "quality", "toxic", "i", "x", "plain"],
                 )
 
-    got = sorted(data.mapInArrow(run, "doc_id long, quality int, toxic int, i binary, x binary").collect(), key=lambda r: (r[0], str(r[1]), str(r[2]), len(r[3])))
-    got = [(q, t, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for _, q, t, i, x in got]
-    return Model(fit([(int(q > 0), i, x) for q, _, i, x in got if q is not None]), fit([(int(t > 0), i, x) for _, t, i, x in got if t is not None]))
+    got = sorted(data.mapInArrow(run, "doc_id long, quality int, toxic int, i binary, x binary, plain binary").collect(), key=lambda r: (r[0], str(r[1]), str(r[2]), len(r[3])))
+    seen = np.zeros(DIM, np.int64)
+    for r in got:
+        seen[np.frombuffer(r[3], np.int32)] += 1
+    often = seen >= max(MIN_ROWS, MIN_SHARE * len(got))
+    dense, dim = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32), int(often.sum())
+
+    def kept_only(i: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = dense[np.frombuffer(i, np.int32)]
+        return k[k >= 0], np.frombuffer(x, np.float32)[k >= 0]
+
+    quality = fit([(int(q > 0), *kept_only(i, x)) for _, q, _, i, x, _ in got if q is not None], dim)
+    return Model(quality, fit([(int(t > 0), *kept_only(i, p)) for _, _, t, i, _, p in got if t is not None], dim), dense)
 
 
 def score(model: Model, text: pa.Array, meta: list[np.ndarray]) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -191,8 +206,11 @@ def score(model: Model, text: pa.Array, meta: list[np.ndarray]) -> tuple[np.ndar
     data, off = tk.utf8(text)
     out = [np.zeros(len(off) - 1) if m else None for m in (model.quality, model.toxic)]
     for a, b in tk.chunks(off):
-        r, i, x = features(data[off[a] : off[b]], off[a : b + 1], [m[a:b] for m in meta])
-        for o, m in zip(out, (model.quality, model.toxic), strict=True):
+        r, i, *values = features(data[off[a] : off[b]], off[a : b + 1], [m[a:b] for m in meta])
+        if model.dense is not None:
+            i = model.dense[i]
+            r, i, values = r[i >= 0], i[i >= 0], [v[i >= 0] for v in values]
+        for o, m, x in zip(out, (model.quality, model.toxic), values, strict=True):
             if m:
                 o[a:b] = 1 / (1 + np.exp(-np.clip(m.scores(r, i, x, b - a), -30, 30)))
     return out[0], out[1]
