@@ -63,8 +63,8 @@ def test_positions_masks_and_markers(spark):
     rows = [("a", "line1\nkey = SECRET_ABCDEFGH\nline3"), ("b", "é SECRET_ABCDEFGH // hushgrid:ignore\nü SECRET_ABCDEFGH SECRET_ABCDEFGI"), ("c", "SECRET_ABC"), ("d", None), ("e", "")]
     assert found(spark, rows) == [
         ("a", 2, 7, 12, 27, "custom/secret", "high", "key = SE••••••••GH"),
-        ("b", 2, 3, 42, 57, "custom/secret", "high", "ü SE••••••••GH SECRET_ABCDEFGI"),
-        ("b", 2, 19, 58, 73, "custom/secret", "high", "ü SECRET_ABCDEFGH SE••••••••GI"),
+        ("b", 2, 3, 41, 56, "custom/secret", "high", "ü SE••••••••GH SECRET_ABCDEFGI"),
+        ("b", 2, 19, 57, 72, "custom/secret", "high", "ü SECRET_ABCDEFGH SE••••••••GI"),
     ]
 
 
