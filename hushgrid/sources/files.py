@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def usable(files: DataFrame, max_size: int | None = MAX_FILE_SIZE) -> DataFrame:
     contents aren't read."""
     out = files if max_size is None else files.where(F.col("length") <= max_size)
     prefix = F.substring("bytes", 1, tx.BINARY_PREFIX)
-    out = out.where(~F.hex(prefix).rlike("^(?:..)*?00")).select("path", decoded(F.col("bytes")).alias("content"))
+    out = out.where(~F.contains(prefix, F.lit(bytearray(1)))).select("path", decoded(F.col("bytes")).alias("content"))
     return out.where(F.col("content").isNotNull())
 
 
@@ -44,6 +45,23 @@ def ignore_files(root: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+def hidden(spark: SparkSession, root: str) -> DataFrame | None:
+    """(inner, length, bytes) of the files that Spark's listing leaves out, those with a name or folder that begins with a dot or an
+    underscore. The driver lists them; executors, which see the same folder, read them."""
+    names = [os.path.relpath(os.path.join(f, n), root) for f, _, ns in os.walk(root) for n in ns]
+    names = sorted(n for n in names if re.search(r"(^|/)[._]", n) and not re.search(r"(^|/)\.git/", n))
+    if not names:
+        return None
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                raw = Path(root, n).read_bytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], names=["inner", "length", "bytes"])
+
+    return spark.createDataFrame([(n,) for n in names], "inner string").mapInArrow(load, "inner string, length long, bytes binary")
+
+
 def read(spark: SparkSession, paths: Iterable[str], excludes: Iterable[str] = (), respect_ignores: bool = True, max_size: int | None = MAX_FILE_SIZE) -> DataFrame:
     """(path, content) of all text files under the paths; hidden files count, version control's own folder doesn't. A path that is a
     file is taken whatever the globs and ignore files say."""
@@ -58,7 +76,10 @@ def read(spark: SparkSession, paths: Iterable[str], excludes: Iterable[str] = ()
         root = os.path.abspath(local) if "://" not in given or given.startswith("file://") else given.rstrip("/")
         found = raw.load(given).withColumn("full", F.regexp_replace("path", r"^file:/+", "/"))
         inner = F.regexp_replace("full", "^" + re.escape(root) + "/*", "")
-        rows = found.select(F.concat(F.lit(given.rstrip("/") + "/"), inner).alias("path"), inner.alias("inner"), "length", F.col("content").alias("bytes"))
+        rows = found.select(inner.alias("inner"), "length", F.col("content").alias("bytes"))
+        unlisted = hidden(spark, root) if os.path.isdir(root) else None
+        rows = rows if unlisted is None else rows.unionByName(unlisted)
+        rows = rows.withColumn("path", F.concat(F.lit(given.rstrip("/") + "/"), F.col("inner")))
         rows = rows.where(~F.col("inner").rlike(r"(^|/)\.git/") & ~tx.has_binary_extension(F.col("inner")) & ~excluded(F.col("inner"), excludes))
         if respect_ignores and os.path.isdir(local):
             rows = rows.where(~ignored(F.col("inner"), ignore_files(root)))
