@@ -1,13 +1,15 @@
 """Line dedup by a segment-partition edit join.
 
 Lines within ``EDITS`` edits share one of EDITS + 1 segments: a line is indexed under (its length, segment number, segment), and probes,
-for every length up to EDITS below its own, the substrings where that segment can lie (multi-match-aware windows). Candidates are
-verified by a banded bit-parallel edit distance over the whole lines. Only 64-bit hashes of segments are exchanged, once; line
-texts are read again for candidates alone.
+for every length up to EDITS below its own, the substrings where that segment can lie (multi-match-aware windows). Lines too short for
+segments of CHARS_PER_EDIT characters meet in what is left when one character is deleted, of the line or of its first half. Candidates are
+verified by a banded bit-parallel edit distance over the whole lines. Only 64-bit hashes are exchanged, once; line texts are read again
+for candidates alone.
 
-A line is a part of a text between line feeds, without blanks at its ends. Lines of fewer than MIN_CHARS characters are left alone, being
-alike by chance. Equal lines and verified pairs form groups; the first line of a group, by doc_id and line number, stays, and a row is
-returned for every other line.
+A line is a part of a text between line feeds, without blanks at its ends; an empty one is none. Equal lines of any length are linked by
+their hash. Two lines are near if they differ in one edit for each CHARS_PER_EDIT characters of the shorter one, EDITS at most: below
+that length only equal lines are linked, one edit being enough there to turn a word into another. Equal lines and verified pairs form
+groups; the first line of a group, by doc_id and line number, stays, and a row is returned for every other line.
 
 Defined cases: null and empty texts have no line, rows without doc_id are left alone; rows that repeat a doc_id have the same line
 numbers, and their lines count once; an empty table gives an empty result; other columns aren't read.
@@ -30,7 +32,9 @@ from .graph import components
 from .joins import two_sided_pairs
 
 EDITS = 2
-MIN_CHARS = 30
+MIN_CHARS = 1
+#: A pair of lines may differ in one edit for so many characters of the shorter one.
+CHARS_PER_EDIT = 10
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -46,7 +50,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(t: tk.Text, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, line number, start and end of the lines that are long enough, blanks at the ends cut off."""
+    """Text number, line number, start and end of the lines that aren't empty, blanks at the ends cut off."""
     n = len(t.cp)
     feed = t.cp == 10
     begin = np.zeros(n + 1, bool)
@@ -67,36 +71,82 @@ def lines(t: tk.Text, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarra
     return text[long], number[long], s[long], e[long]
 
 
-def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edits: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def allowed(size: np.ndarray, edits: int) -> np.ndarray:
+    """Edits that a pair may differ in, by the length of its shorter line."""
+    return np.minimum(edits, size // CHARS_PER_EDIT)
+
+
+def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, left (probe) or right (index), id of distinct lines."""
     n = 1 << max(20, int(len(cp)).bit_length())
     pw, inv = _powers(n)
     code = tk.tables()["code"][cp]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * pw[: len(cp)], dtype=np.uint64)])
-    size, k = e - s, edits + 1
-    keys, left, out = [], [], []
+    size, every = e - s, np.arange(len(s))
+    keys, left, out = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
 
-    def add(probe: bool, rows: np.ndarray, start: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
-        h = (total[start + length] - total[start]) * inv[start]
+    def post(probe: bool, rows: np.ndarray, h: np.ndarray, target: np.ndarray, i: int) -> None:
         keys.append(tk.splitmix(h ^ tk.splitmix(target.astype(np.uint64) * np.uint64(64) + np.uint64(i))).astype(np.int64))
         left.append(np.full(len(rows), probe))
         out.append(ids[rows])
 
-    every = np.arange(len(s))
-    for d in range(edits + 1):
-        target = size - d  # length of the indexed line
-        rows = every[target >= min_chars]
-        goal = target[rows]
+    def add(probe: bool, rows: np.ndarray, start: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
+        post(probe, rows, (total[start + length] - total[start]) * inv[start], target, i)
+
+    def add_shortened(probe: bool, rows: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
+        """The first ``length`` characters of the lines, with each one deleted in turn."""
+        of = np.repeat(np.arange(len(rows)), length)
+        start = s[rows][of]
+        gap = start + np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+        h = (total[gap] - total[start]) * inv[start] + (total[start + length[of]] - total[gap + 1]) * inv[start + 1]
+        post(probe, rows[of], h, target[of], i)
+
+    def segments(k: int, d: int, rows: np.ndarray, goal: np.ndarray) -> None:
+        """One of k segments is equal."""
         base, longer = goal // k, goal % k
         for i in range(k):  # the last ``longer`` segments have one character more
             length = base + (i >= k - longer)
             p = base * i + np.maximum(0, i - (k - longer))
             if d == 0:
                 add(False, rows, s[rows] + p, length, goal, i)
-            low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
+            low, high = max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i))
             for o in range(low, high + 1):
                 fit = (p + o >= 0) & (p + o + length <= size[rows])
                 add(True, rows[fit], (s[rows] + p + o)[fit], length[fit], goal[fit], i)
+
+    def one_edit(d: int, rows: np.ndarray, goal: np.ndarray) -> None:
+        """A character of each is replaced, or the longer one has one more."""
+        if d == 0:
+            add(False, rows, s[rows], goal, goal, 60)
+            add_shortened(False, rows, goal, goal, 61)
+            add_shortened(True, rows, goal, goal, 61)
+        else:
+            add_shortened(True, rows, size[rows], goal, 60)
+
+    def two_edits(d: int, rows: np.ndarray, goal: np.ndarray) -> None:
+        """The second half is equal, or the first has one edit at most."""
+        half = goal // 2
+        add(True, rows, e[rows] - (goal - half), goal - half, goal, 62)
+        add_shortened(True, rows, half + 1, goal, 60)
+        if d == 0:
+            add(False, rows, e[rows] - (goal - half), goal - half, goal, 62)
+            add(False, rows, s[rows], half, goal, 60)
+            add_shortened(False, rows, half, goal, 61)
+            add(True, rows, s[rows], half - 1, goal, 61)
+        if d < 2:
+            add_shortened(True, rows, half, goal, 61)
+        else:
+            add(True, rows, s[rows], half, goal, 60)
+
+    for a in range(1, edits + 1):
+        for d in range(a + 1):
+            target = size - d  # length of the indexed line
+            here = allowed(target, edits) == a
+            whole = here & (target >= CHARS_PER_EDIT * (a + 1)) if a <= 2 else here
+            short = every[here & ~whole]
+            segments(a + 1, d, every[whole], target[whole])
+            if len(short):
+                (one_edit if a == 1 else two_edits)(d, short, target[short])
     return np.concatenate(keys), np.concatenate(left), np.concatenate(out)
 
 
@@ -163,7 +213,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, tk.Text, tuple[np.ndarray,
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(doc_id, line) of every line that repeats an earlier one up to ``edits`` edits, and the first line of its group (of_doc, of_line)."""
+    """(doc_id, line) of every line that repeats an earlier one up to the allowed edits (``edits`` at most), and the first line of its group (of_doc, of_line)."""
     spark = docs.sparkSession
     docs = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
@@ -177,7 +227,7 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         for batch in batches:
             for _, t, (_, _, s, e) in _chunks(batch.column(0)):
                 h, at = np.unique(tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64), return_index=True)
-                key, left, ids = postings(t.cp, s[at], e[at], h, edits, MIN_CHARS)
+                key, left, ids = postings(t.cp, s[at], e[at], h, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(left.astype(np.int8))], names=["key", "id", "left"])
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +244,9 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             keep = np.zeros(len(x), bool)
             for block in np.array_split(order, max(1, sum(map(len, x)) // 200_000)):
                 if len(block):
-                    keep[block] = edit_distances([_points(x[i]) for i in block], [_points(y[i]) for i in block], edits) <= edits
+                    px, py = [_points(x[i]) for i in block], [_points(y[i]) for i in block]
+                    shorter = np.array([min(len(p), len(q)) for p, q in zip(px, py, strict=True)])
+                    keep[block] = edit_distances(px, py, edits) <= allowed(shorter, edits)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     seen = materialise(docs.mapInArrow(occur, "id long, doc_id long, line long"))

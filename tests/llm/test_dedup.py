@@ -177,6 +177,43 @@ def test_near_lines_equal_brute_force(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    lines = ["", "}", "}", "}", "ab", "ac", "The end.", "The end.", "The End.", "All rights reserved.", "All rights reserved.", "All right reserved.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0"]
+    for size in [*range(1, 34)] * 3:
+        s = rng.choices("abcdefgh é", k=size)
+        for edits in (0, 0, 1, 2, 3):
+            t = list(s)
+            for _ in range(edits):
+                k = rng.randrange(len(t) + 1)
+                t[k : k + rng.choice((0, 1))] = rng.choice(("", "q", "r"))
+            lines.append("".join(t))
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[5 * k : 5 * k + 5])) for k in range(len(lines) // 5 + 1)]
+    where = sorted((i, n, t.strip()) for i, text in rows for n, t in enumerate(text.split("\n")) if t.strip())
+    distinct = sorted({t for _, _, t in where})
+    root = {t: t for t in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(distinct):
+        for b in distinct[k + 1 :]:
+            most = min(2, min(len(a), len(b)) // 10)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                root[find(a)] = find(b)
+    first, want = {}, set()
+    for i, n, t in where:
+        f = first.setdefault(find(t), (i, n))
+        if f != (i, n):
+            want.add((i, n, *f))
+    assert {tuple(r) for r in line_dedup.dedup(frame(spark, rows)).collect()} == want
+    short = {(i, n): t for i, n, t in where}
+    assert sum(len(short[w[:2]]) < 30 for w in want) > 100 and sum(short[w[:2]] != short[w[2:]] for w in want) > 50
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 32))
