@@ -28,11 +28,12 @@ from . import textkern as tk
 from .common import discard, materialise, small_side
 from .graph import components
 
-K = 64
+K = 128
 SHINGLE = 3
-THRESHOLD = 0.7
-#: Least estimate of a candidate: about 2.6 standard deviations of a bottom-64 estimate below the threshold.
-LEAST_ESTIMATE = 0.55
+#: In the gap between copies and strangers: three trigrams go with each changed word, so a copy with a tenth of its words changed is at about 0.57.
+THRESHOLD = 0.5
+#: Least estimate of a candidate: about 3.6 standard deviations of a bottom-128 estimate below the threshold.
+LEAST_ESTIMATE = 0.34
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
