@@ -34,7 +34,10 @@ TRAIN_PAGES = 400
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea svg".split())
-_SKIPPED = frozenset("head title".split())
+_TITLE_END = re.compile(r"</title|</head|<body", re.I)
+#: Raw elements whose content is a program: unclosed, they take the rest of the page; the others end behind their opening tag.
+_PROGRAM = frozenset("script style".split())
+_IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"\w+")
@@ -53,7 +56,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[str] = []
     parts: list[str] = []
     linked, links, pos, n = 0, 0, 0, len(page)
-    skip = 0
+    head = skip = False
 
     def flush() -> None:
         nonlocal parts, linked
@@ -92,20 +95,29 @@ def blocks(page: str) -> list[Block]:
         if end < 0:
             break
         name, pos = m.group().lower(), end + 1
+        if name not in ("head", "title"):  # the first tag that can't be in a head ends it
+            skip = head = head and (name not in ("body", "html") if closing else name in _IN_HEAD)
         if name in _RAW and not closing:
             if page[end - 1] != "/":
                 close = page.lower().find(f"</{name}", pos) if n < 1 << 16 else _find_close(page, name, pos)
-                if close < 0:
+                if close < 0 and name in _PROGRAM:
                     break
+                if close < 0:
+                    continue
                 end = page.find(">", close)
                 pos = n if end < 0 else end + 1
             continue
-        if name in _SKIPPED:
+        if name == "head":
+            flush()
+            head = skip = not closing
+            continue
+        if name == "title":
             flush()
-            skip = max(0, skip - 1) if closing else skip + 1
+            skip = head or not closing  # unclosed, it ends at the next tag
+            m = None if closing else _TITLE_END.search(page, pos)
+            if m and m.group().lower() == "</title":
+                pos = m.start()
             continue
-        if name == "body":
-            skip = 0
         if name == "a":
             links = 0 if closing else 1
         if name in _INLINE:

@@ -230,6 +230,16 @@ def test_extraction(spark):
     assert total > 500 and right / total > 0.95
 
 
+def test_blocks_of_pages_without_optional_or_closing_tags():
+    texts = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert texts("<html><head><title>t</title><meta x><p>a</p>b") == ["a", "b"]
+    assert texts("<head><title>t<p>a</p></html>") == ["a"] and texts("<title>t<div>a") == ["a"]
+    assert texts("<head><title>a <b> c</title><style>x</style></head>d") == ["d"]
+    for name in ("svg", "noscript", "template", "textarea"):
+        assert texts(f"<p>a</p><{name}><p>b") == ["a", "b"]
+    assert texts("<p>a</p><script>b<p>c") == ["a"]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>a<p>b</div></p><b>c"), (4, "u", "<div " * 1000), (5, "u", "<ul>" * 3000 + "x"), (6, "u", "a < b &amp; c<!-- x -->"), (6, "u", "a < b &amp; c<!-- x -->"), (None, "u", "<script>no</script>yes")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "html as text")
