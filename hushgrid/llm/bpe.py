@@ -4,7 +4,9 @@ The leaves of a tree hold ``rank << bits | position`` of each adjacent pair; its
 A merge updates three leaves and their ancestors. Pieces of up to ``WIDE`` bytes are merged many at a time, one numpy row
 a piece; longer ones get a tree of their own. Equal pieces of a chunk are encoded once.
 
-Defined cases: a null text has null ids; an empty text has no ids; any text round-trips, texts of any length are encoded whole.
+Defined cases: a null text has null ids; an empty text has no ids; any text round-trips, texts and words of any length are encoded whole;
+of equal ranks the leftmost pair is merged; repeated rows are encoded alike; an empty table gives an empty result; other columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Counts aren't monotone: a further character can complete a longer token. A budge
 the budget.
 
 Defined cases: a null text gives nulls; an empty text has no prefix and no token; texts of any length are counted whole;
-repeated rows are counted alike; an empty table gives an empty result; other columns aren't read.
+of several prefixes within a budget the longest is taken; repeated rows are counted alike; an empty table gives an empty result; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -43,9 +44,8 @@ class Prefixes:
         size = 2
         while size // 2 < length.max():
             rows = np.flatnonzero((length > size // 2) & (length <= size))
-            if len(rows) and size <= 1024:
-                a, b = bpe.merge_rows(v, v.pool, start[rows], length[rows], size, last=True)
-                left[rows], right[rows] = a, b
+            for block in np.array_split(rows, max(1, len(rows) * size // (1 << 22))) if len(rows) else ():
+                left[block], right[block] = bpe.merge_rows(v, v.pool, start[block], length[block], size, last=True)
             size *= 2
         self.left, self.right = left, right
         own = np.flatnonzero((length > 1) & (left >= 0))
@@ -57,6 +57,7 @@ class Prefixes:
                 nodes.setdefault(t[:i], len(nodes))
         keys = np.array([nodes[k[:-1]] * 256 + k[-1] for k in nodes if k], np.int64)
         self.trie = bpe.HashTable(keys, np.array([n for k, n in nodes.items() if k], np.int64))
+        self.steps = dict(zip(keys.tolist(), range(1, len(nodes)), strict=True))
         self.token = np.array([v.ranks.get(k, -1) for k in nodes], np.int64)
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,15 +124,16 @@ class Prefixes:
 
     def long(self, piece: bytes) -> np.ndarray:
         """The same for one piece of any length."""
-        n, ranks, longest = len(piece), self.v.ranks, int(self.v.length.max())
-        last, count = [-1] * (n + 1), np.zeros(n + 1, np.int32)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ranks.get(piece[j:i])
-                if t is not None and (j == 0 or self.fits_one(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-        return count
+        n, step, token = len(piece), self.steps.get, self.token.tolist()
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        for j in range(n):
+            node, i, before, c = 0, j, last[j], count[j] + 1
+            while i < n and (node := step(node * 256 + piece[i])) is not None:
+                i += 1
+                t = token[node]
+                if t >= 0 and last[i] < 0 and (j == 0 or self.fits_one(before, t)):
+                    last[i], count[i] = t, c
+        return np.array(count, np.int32)
 
 
 class Counter:
@@ -251,25 +253,35 @@ def count(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, COUNTED)
 
 
-def _counts(deltas: bytes, width: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(deltas, np.int8 if width == 1 else np.int32), dtype=np.int64)
+def _prefixes(deltas: pd.Series, width: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix counts of all rows one after another, each row's beginning with 0, and where the rows begin."""
+    flat, at = [], np.zeros(len(deltas) + 1, np.int64)
+    bits = width.fillna(1).to_numpy(np.int64)
+    n = np.fromiter((0 if d is None else len(d) for d in deltas), np.int64, len(deltas)) // bits + 1
+    np.cumsum(n, out=at[1:])
+    flat = np.zeros(int(at[-1]), np.int64)
+    for w, kind in ((1, np.int8), (4, np.int32)):
+        rows = np.flatnonzero((bits == w) & (n > 1))
+        flat[tk.ragged(at[rows] + 1, n[rows] - 1)] = np.frombuffer(b"".join(deltas.iloc[rows]), kind)
+    total = np.cumsum(flat)
+    return total - np.repeat(total[at[:-1]], n), at
 
 
 @F.pandas_udf(T.LongType())
 def _tokens_at(deltas: pd.Series, width: pd.Series, chars: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None or pd.isna(k) else 0 if k <= 0 or not d else int(_counts(d, int(w))[min(int(k), len(d) // int(w)) - 1]) for d, w, k in zip(deltas, width, chars, strict=True)], dtype="Int64")
+    counts, at = _prefixes(deltas, width)
+    k = chars.fillna(0).to_numpy(np.int64)
+    return pd.Series(counts[at[:-1] + np.clip(k, 0, np.diff(at) - 1)]).mask((deltas.isna() | chars.isna()).to_numpy()).astype("Int64") if len(at) > 1 else pd.Series([], dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())
 def _chars_within(deltas: pd.Series, width: pd.Series, budget: pd.Series) -> pd.Series:
-    out = []
-    for d, w, k in zip(deltas, width, budget, strict=True):
-        if d is None or pd.isna(k):
-            out.append(None)
-            continue
-        inside = np.flatnonzero(_counts(d, int(w)) <= k)
-        out.append(int(inside[-1]) + 1 if len(inside) else 0)
-    return pd.Series(out, dtype="Int64")
+    counts, at = _prefixes(deltas, width)
+    if len(at) == 1:
+        return pd.Series([], dtype="Int64")
+    n = np.diff(at)
+    inside = np.where(counts <= np.repeat(budget.fillna(0).to_numpy(np.int64), n), np.arange(len(counts)), 0)
+    return pd.Series(np.maximum(np.maximum.reduceat(inside, at[:-1]) - at[:-1], 0)).mask((deltas.isna() | budget.isna()).to_numpy()).astype("Int64")
 
 
 def tokens_at(chars: Column | int) -> Column:

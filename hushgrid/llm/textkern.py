@@ -50,12 +50,17 @@ def tables() -> dict[str, np.ndarray]:
 
 @functools.cache
 def powers(base: int) -> np.ndarray:
-    out = np.empty(_N_POW, np.uint64)
+    """The first _N_POW powers of the base modulo 2^64."""
+    out = np.full(_N_POW, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
     out[0] = 1
-    with np.errstate(over="ignore"):
-        for i in range(1, _N_POW):
-            out[i] = out[i - 1] * np.uint64(base)
-    return out
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def power(base: int, at: np.ndarray, most: int) -> np.ndarray:
+    """base^at modulo 2^64 for exponents up to ``most``, below 2^32: beyond _N_POW, the product of two table entries."""
+    if most < _N_POW:
+        return powers(base)[at]
+    return powers(base)[at & (_N_POW - 1)] * powers(pow(base, _N_POW, 1 << 64))[at >> 16]
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +142,9 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, check
         at = np.repeat(starts - first, lengths)
         at += np.arange(n, dtype=np.int64)
         inner, own = at - np.repeat(starts, lengths), values[at]
-    if lengths.max() >= _N_POW:
-        inner &= _N_POW - 1
-    size = lengths.astype(np.uint64)
-    h = splitmix(np.add.reduceat(own * powers(0x9E3779B97F4A7C15)[inner], first) ^ size)
-    return (h, splitmix(np.add.reduceat((own ^ (own >> np.uint64(29))) * powers(0xD6E8FEB86659FD93)[inner], first) + size)) if check else h
+    size, most = lengths.astype(np.uint64), int(lengths.max()) - 1
+    h = splitmix(np.add.reduceat(own * power(0x9E3779B97F4A7C15, inner, most), first) ^ size)
+    return (h, splitmix(np.add.reduceat((own ^ (own >> np.uint64(29))) * power(0xD6E8FEB86659FD93, inner, most), first) + size)) if check else h
 
 
 def words(t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
