@@ -9,7 +9,8 @@ The training sample is bounded by TRAIN_PAGES.
 
 Defined cases: a null page gives a null text; an empty page, or one without a block, gives an empty text; broken, unclosed or
 endless markup is read to its end; without any labelled page all blocks are content; of equal scores "not content" is chosen; repeated rows
-are extracted alike; an empty table gives an empty result; other columns aren't read.
+are extracted alike; an empty table gives an empty result; pages of any length and depth are read whole, in time in proportion to their
+length; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ TRAIN_PAGES = 400
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea svg".split())
-_TITLE_END = re.compile(r"</title|</head|<body", re.I)
+_TITLE_END = re.compile(r"</title|</head|<body", re.I | re.A)
 #: Raw elements whose content is a program: unclosed, they take the rest of the page; the others end behind their opening tag.
 _PROGRAM = frozenset("script style".split())
 _IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
@@ -45,7 +47,7 @@ _WORDS = re.compile(r"\w+")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: tuple[frozenset[int], tuple[str, ...]]  # features of all ancestor tags, and the three innermost ones with their classes
     text: str
     linked: int
 
@@ -53,7 +55,9 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in order. A tag ends at the next '>'; comments, scripts and the head are left out."""
     out: list[Block] = []
-    stack: list[str] = []
+    stack: list[tuple[str, str, frozenset[int]]] = []  # tag, tag with classes, features of the tags down to it
+    inside: Counter[str] = Counter()
+    missing: set[str] = set()  # closing tags that don't follow any more
     parts: list[str] = []
     linked, links, pos, n = 0, 0, 0, len(page)
     head = skip = False
@@ -63,9 +67,14 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block((stack[-1][2] if stack else frozenset(), tuple(x[1] for x in stack[-3:])), text, linked))
             parts, linked = [], 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        inside[name] -= 1
+        return name
+
     while pos < n:
         at = page.find("<", pos)
         if at < 0:
@@ -99,7 +108,9 @@ def blocks(page: str) -> list[Block]:
             skip = head = head and (name not in ("body", "html") if closing else name in _IN_HEAD)
         if name in _RAW and not closing:
             if page[end - 1] != "/":
-                close = page.lower().find(f"</{name}", pos) if n < 1 << 16 else _find_close(page, name, pos)
+                close = -1 if name in missing else _find_close(page, name, pos)
+                if close < 0:
+                    missing.add(name)
                 if close < 0 and name in _PROGRAM:
                     break
                 if close < 0:
@@ -114,7 +125,9 @@ def blocks(page: str) -> list[Block]:
         if name == "title":
             flush()
             skip = head or not closing  # unclosed, it ends at the next tag
-            m = None if closing else _TITLE_END.search(page, pos)
+            m = None if closing or "title" in missing else _TITLE_END.search(page, pos)
+            if not closing and not m:
+                missing.add("title")
             if m and m.group().lower() == "</title":
                 pos = m.start()
             continue
@@ -128,27 +141,26 @@ def blocks(page: str) -> list[Block]:
         if name in _VOID:
             continue
         if closing:
-            if name in stack:
-                while stack.pop().partition(" ")[0] != name and stack:
-                    pass
-            elif any(x.partition(" ")[0] == name for x in stack):
-                while stack and stack.pop().partition(" ")[0] != name:
+            if inside[name]:
+                while pop() != name:
                     pass
             links = 0
         else:
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1].partition(" ")[0] == name:
-                stack.pop()
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+                pop()
             found = _CLASS.findall(page, m.end(), end) if end - m.end() > 3 else ()
-            stack.append(name + "".join(" " + x.strip("\"'").lower() for x in found) if found else name)
-            if len(stack) > 200:  # unclosed tags without end: only the innermost count
-                del stack[:100]
+            above, own = stack[-1][2] if stack else frozenset(), _named("any", name)
+            stack.append((name, name + "".join(" " + x.strip("\"'").lower() for x in found) if found else name, above if own in above else above | {own}))
+            inside[name] += 1
     flush()
     return out
 
 
 def _find_close(page: str, name: str, pos: int) -> int:
-    m = re.compile(f"</{name}", re.I).search(page, pos)
-    return m.start() if m else -1
+    """Where the next ``</name`` begins, whatever the case of its ASCII letters; -1 if there is none."""
+    while (pos := page.find("</", pos)) >= 0 and page[pos + 2 : pos + 2 + len(name)].lower() != name:
+        pos += 2
+    return pos
 
 
 def _id(feature: str) -> int:
@@ -156,17 +168,18 @@ def _id(feature: str) -> int:
 
 
 @functools.lru_cache(50_000)
-def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
+def path_features(path: tuple[frozenset[int], tuple[str, ...]]) -> tuple[int, ...]:
     """Ancestor tags, the two innermost ones, and the class words of the innermost three."""
-    tags = [p.partition(" ")[0] for p in path]
-    out = {_id("any " + t) for t in tags} | {_id("in " + t) for t in tags[-1:]} | {_id("in2 " + "/".join(tags[-2:]))}
-    for p in path[-3:]:
+    every, inner = path
+    tags = [p.partition(" ")[0] for p in inner]
+    out = every | {_id("in " + t) for t in tags[-1:]} | {_id("in2 " + "/".join(tags[-2:]))}
+    for p in inner:
         out |= {_id("class " + w) for w in _WORDS.findall(p.partition(" ")[2])}
-    return tuple(out)
+    return tuple(sorted(out))
 
 
 @functools.lru_cache(50_000)
-def _named(name: str, value: int) -> int:
+def _named(name: str, value: int | str) -> int:
     return _id(f"{name} {value}")
 
 
@@ -205,7 +218,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.w = model.weights.tolist()
-        self.paths: dict[tuple[str, ...], float] = {}
+        self.paths: dict[tuple[frozenset[int], tuple[str, ...]], float] = {}
 
     def __call__(self, found: list[Block]) -> list[float]:
         w, n, out = self.w, len(found), []
@@ -241,6 +254,20 @@ def viterbi(scores: list[float], moves: list[list[float]], start: list[float]) -
     return out[::-1]
 
 
+def marginals(node: np.ndarray, moves: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """By forward and backward passes: log of the sum over all labellings, probabilities of the labels (blocks x 2), and of the labels of neighbours (blocks - 1 x 2 x 2)."""
+    n = len(node)
+    alpha, beta = np.empty((n, 2)), np.zeros((n, 2))
+    alpha[0] = start + node[0]
+    for i in range(1, n):
+        alpha[i] = np.logaddexp(alpha[i - 1, 0] + moves[0], alpha[i - 1, 1] + moves[1]) + node[i]
+    for i in range(n - 2, -1, -1):
+        step = moves + node[i + 1] + beta[i + 1]
+        beta[i] = np.logaddexp(step[:, 0], step[:, 1])
+    z = np.logaddexp(*alpha[-1])
+    return float(z), np.exp(alpha + beta - z), np.exp(alpha[:-1, :, None] + moves + (node + beta)[1:, None, :] - z)
+
+
 def fit(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Model:
     """AdaGrad on the log-likelihood; a page is the features and the labels of its blocks."""
     w, moves, start = np.zeros(DIM), np.zeros((2, 2)), np.zeros(2)
@@ -254,15 +281,7 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: f
             n, y = len(found), np.array(labels)
             node = np.zeros((n, 2))
             node[:, 1] = [w[f].sum() for f in found]
-            alpha, beta = np.empty((n, 2)), np.zeros((n, 2))
-            alpha[0] = start + node[0]
-            for i in range(1, n):
-                alpha[i] = np.logaddexp(alpha[i - 1, 0] + moves[0], alpha[i - 1, 1] + moves[1]) + node[i]
-            for i in range(n - 2, -1, -1):
-                step = moves + node[i + 1] + beta[i + 1]
-                beta[i] = np.logaddexp(step[:, 0], step[:, 1])
-            z = np.logaddexp(*alpha[-1])
-            p = np.exp(alpha + beta - z)
+            _, p, pair = marginals(node, moves, start)
             d = y - p[:, 1]
             rows = np.repeat(np.arange(n), [len(f) for f in found])
             flat = np.concatenate([np.asarray(f) for f in found])
@@ -271,7 +290,6 @@ def fit(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 6, rate: f
             gw[ids] += g * g
             w[ids] += rate * g / np.sqrt(gw[ids])
             if n > 1:
-                pair = np.exp(alpha[:-1, :, None] + moves + (node + beta)[1:, None, :] - z)
                 g = -pair.sum(0)
                 np.add.at(g, (y[:-1], y[1:]), 1)
                 gm += g * g
@@ -299,7 +317,9 @@ def labelled_pages(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_PAGES) -
     n = named.count()
     sample = named.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, n))))
     sample = sample.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"), F.col("named").cast("long").alias("named"))
-    return docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("named"), docs["text"].cast("string").alias("document")).join(F.broadcast(sample), "named").select("page_id", "html", "document")
+    texts = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("named"), docs["text"].cast("string").alias("document"))
+    texts = texts.join(F.broadcast(sample.select("named").distinct()), "named", "left_semi")  # about ``rows`` ids are sent around, no pages
+    return texts.join(sample, "named").select("page_id", "html", "document")
 
 
 def train(pages: DataFrame, docs: DataFrame, rows: int = TRAIN_PAGES) -> Model | None:
