@@ -1,12 +1,12 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Weights are trained with follow-the-regularised-leader (per-coordinate rates, elastic net) on a bounded sample of labelled
-rows, then one temperature is fitted on held-out rows. Document frequencies are counted over all documents.
+rows, then one temperature is fitted on held-out rows (every fifth of a language; 1 if there is none). Document frequencies are counted over all documents.
 
 Defined cases: a text that is null, empty or without a letter has no n-gram, so language and probability are null and the row is
 rejected; a null label isn't trained on; with no labelled row at all, languages are null and rows with letters are accepted;
 repeated rows are scored alike; ties go to the alphabetically first language; texts of any length are read whole; an empty
-table gives an empty result.
+table gives an empty result. Of other columns, whatever their names, nothing is read; filtering keeps them.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def fit_temperature(rows: list[tuple[int, np.ndarray, np.ndarray]], model: Model
 
 
 def train(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model | None:
-    """A model from the rows with a label in ``lang``; None if there are none. One row in five is held out for the temperature."""
+    """A model from the rows with a label in ``lang``; None if there are none. Every fifth row of a language is held out for the temperature."""
     sizes = {r[0]: r[1] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -183,8 +183,12 @@ def train(docs: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model | None:
     rows = sample.mapInArrow(run, "doc_id long, lang string, bins binary, counts binary").collect()
     rows = sorted(((r[0] if r[0] is not None else -1, classes.index(r[1]), np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.int32)) for r in rows if r[2]), key=lambda r: (r[0], r[1], len(r[2])))
     model = Model(classes, np.zeros((BINS, len(classes)), np.float32), np.zeros(len(classes), np.float32), np.log((1 + n) / (1 + df)) + 1)
-    fit_ftrl([r[1:] for k, r in enumerate(rows) if k % 5 or len(rows) < 50], model)
-    fit_temperature([r[1:] for k, r in enumerate(rows) if k % 5 == 0], model)
+    seen, held = [0] * len(classes), []
+    for _, k, *_ in rows:
+        seen[k] += 1
+        held.append(seen[k] % 5 == 0)
+    fit_ftrl([r[1:] for r, h in zip(rows, held, strict=True) if not h], model)
+    fit_temperature([r[1:] for r, h in zip(rows, held, strict=True) if h], model)
     return model
 
 

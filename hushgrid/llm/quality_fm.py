@@ -3,12 +3,14 @@
 A score is ``b + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``: the sum-of-squares identity, linear in the
 non-zero features. Two machines share one pass over the features: one for quality, to which a word counts by its share of the text, one
 for toxicity, to which it counts as much in a long text as in a short one. Both are fitted by AdaGrad on a bounded sample of labelled rows,
-over the features that occur often enough in it.
+over the features of which it gives evidence: those that occur in one class so much more than in the other that chance is ruled out
+(likelihood ratio), however rare they or the class are. Features without evidence have no weight.
 
 Defined cases: a null text counts as empty; an empty text has structure and metadata features only; null labels aren't trained
 on; a doc_id with several labels is trained on each; without labelled rows probabilities are null and all rows are kept, and so for
-one head whose labels are all alike; repeated rows are scored alike; an empty table gives an empty result; null metadata is a
-value of its own. Texts of any length are read whole.
+one head whose labels are all alike; repeated rows are scored alike; a probability that equals a limit passes it; an empty table
+gives an empty result; null metadata is a value of its own. Texts of any length are read whole. Of other columns, whatever their
+names, nothing is read; filtering keeps them.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ DIM = WORDS + META + STEPS * N_STATS
 RANK = 8
 #: Bound of the training sample: about so many labelled rows, chosen by a hash of doc_id.
 TRAIN_ROWS = 6000
-#: Share of the sample's rows, and number of rows, that a feature must occur in to be a feature: what is rarer is learnt by heart.
-MIN_SHARE, MIN_ROWS = 0.0075, 3
+#: Least likelihood ratio (G) of a feature and a label: at 12, one in 2,000 features without any relation would pass.
+MIN_EVIDENCE = 12.0
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 
 
@@ -115,9 +117,13 @@ class Machine:
     b: float
     w: np.ndarray
     v: np.ndarray
+    dense: np.ndarray | None = None  # the number of each feature, -1 for those without a weight; None: features are numbers
 
     def scores(self, r: np.ndarray, i: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         """Linear time: sums of v x and of their squares by text."""
+        if self.dense is not None:
+            i = self.dense[i]
+            r, i, x = r[i >= 0], i[i >= 0], x[i >= 0]
         out = self.b + np.bincount(r, weights=self.w[i] * x, minlength=n)
         if len(r):
             vx = self.v[i] * x[:, None]
@@ -158,7 +164,35 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int =
 class Model:
     quality: Machine | None
     toxic: Machine | None
-    dense: np.ndarray | None = None  # the number of each feature, -1 for those left out
+
+
+def evidence(row: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By feature, the likelihood ratio G of its occurrence and the labels y (0 or 1) of the rows; a row has a feature once at most."""
+    n, ones = len(y), float(y.sum())
+    k1, k = (np.bincount(f, minlength=DIM).astype(float) for f in (feature[y[row] == 1], feature))
+    g = np.zeros(DIM)
+    for seen, of, share in ((k1, ones, k / n), (k - k1, n - ones, k / n), (ones - k1, ones, 1 - k / n), (n - ones - k + k1, n - ones, 1 - k / n)):
+        some = seen > 0
+        g[some] += 2 * seen[some] * np.log(seen[some] / (of * share[some]))
+    return g
+
+
+def fit_head(rows: list[tuple[int, np.ndarray, np.ndarray]], least: float = MIN_EVIDENCE) -> Machine | None:
+    """A machine over the features with evidence, from (label, features, values) of rows."""
+    y = np.array([r[0] for r in rows], np.int64)
+    if not len(y) or y.min() == y.max():
+        return None
+    g = evidence(np.repeat(np.arange(len(y)), [len(i) for _, i, _ in rows]), np.concatenate([i for _, i, _ in rows]), y)
+    dense = np.where(g >= least, np.cumsum(g >= least) - 1, -1).astype(np.int32)
+
+    def known(i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = dense[i]
+        return k[k >= 0], x[k >= 0]
+
+    m = fit([(label, *known(i, x)) for label, i, x in rows], int((g >= least).sum()))
+    if m:
+        m.dense = dense
+    return m
 
 
 def metadata(batch: pa.RecordBatch, at: list[int]) -> list[np.ndarray]:
@@ -187,18 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 )
 
     got = sorted(data.mapInArrow(run, "doc_id long, quality int, toxic int, i binary, x binary, plain binary").collect(), key=lambda r: (r[0], str(r[1]), str(r[2]), len(r[3])))
-    seen = np.zeros(DIM, np.int64)
-    for r in got:
-        seen[np.frombuffer(r[3], np.int32)] += 1
-    often = seen >= max(MIN_ROWS, MIN_SHARE * len(got))
-    dense, dim = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32), int(often.sum())
-
-    def kept_only(i: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-        k = dense[np.frombuffer(i, np.int32)]
-        return k[k >= 0], np.frombuffer(x, np.float32)[k >= 0]
-
-    quality = fit([(int(q > 0), *kept_only(i, x)) for _, q, _, i, x, _ in got if q is not None], dim)
-    return Model(quality, fit([(int(t > 0), *kept_only(i, p)) for _, _, t, i, _, p in got if t is not None], dim), dense)
+    head = lambda label, value: fit_head([(int(r[label] > 0), np.frombuffer(r[3], np.int32), np.frombuffer(r[value], np.float32)) for r in got if r[label] is not None])
+    return Model(head(1, 4), head(2, 5))
 
 
 def score(model: Model, text: pa.Array, meta: list[np.ndarray]) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -207,9 +231,6 @@ def score(model: Model, text: pa.Array, meta: list[np.ndarray]) -> tuple[np.ndar
     out = [np.zeros(len(off) - 1) if m else None for m in (model.quality, model.toxic)]
     for a, b in tk.chunks(off):
         r, i, *values = features(data[off[a] : off[b]], off[a : b + 1], [m[a:b] for m in meta])
-        if model.dense is not None:
-            i = model.dense[i]
-            r, i, values = r[i >= 0], i[i >= 0], [v[i >= 0] for v in values]
         for o, m, x in zip(out, (model.quality, model.toxic), values, strict=True):
             if m:
                 o[a:b] = 1 / (1 + np.exp(-np.clip(m.scores(r, i, x, b - a), -30, 30)))
