@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key-only side up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a side up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 #: Rows of an Arrow batch. The default of 10,000 whole texts would hold tens of MB in the JVM and in each worker.
@@ -39,17 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: a short lineage that outlives executors."""
+def materialise(df: DataFrame, scoped: bool = True) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again: a short lineage that outlives executors. ``scoped``: deleted at
+    the end of a surrounding ``scratch``."""
     spark = df.sparkSession
     arrow_batches(spark)
     path = f"{shared_dir(spark)}/hushgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hushgrid_path = path
+    for frames in _scopes if scoped else ():
+        frames.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was materialised within it."""
+    frames: list[DataFrame] = []
+    _scopes.append(frames)
+    try:
+        yield
+    finally:
+        _scopes.remove(frames)
+        discard(spark, frames)
+
+
 def discard(spark: SparkSession, frames: Iterable[DataFrame | None]) -> None:
     """Delete materialised frames that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -60,10 +79,15 @@ def discard(spark: SparkSession, frames: Iterable[DataFrame | None]) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it holds at most ``most`` rows, otherwise as it is (the join then shuffles)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row of fixed width in a broadcast table: 32 for its place, 8 a number, 48 a digest. Wider columns aren't for broadcasts."""
+    width = {"bigint": 8, "int": 8, "binary": 48}
+    return 32 + sum(width.get(k, 16 * (1 + k.count(",")) if k.startswith("struct<") else 1 << 20) for _, k in df.dtypes)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The side with a broadcast hint if its rows, counted, fit in ``most`` bytes; otherwise as it is (the join then shuffles)."""
+    return F.broadcast(df) if df.count() * row_bytes(df) <= most else df
 
 
 def fresh(columns: Iterable[str], name: str) -> str:

@@ -12,8 +12,9 @@ that length only equal lines are linked, one edit being enough there to turn a w
 groups; the first line of a group, by doc_id and line number, stays, and a row is returned for every other line.
 
 Defined cases: null and empty texts have no line, rows without doc_id are left alone; rows that repeat a doc_id have the same line
-numbers, and their lines count once; an empty table gives an empty result; other columns aren't read.
-Lines are identified by 64-bit hashes.
+numbers, and their lines count once; texts and lines of any length are compared whole; of lines that are equally early (rows of one doc_id)
+none is before the other, their place counts once; a pair with exactly the allowed edits is near; an empty table gives an empty result; other
+columns, whatever their names, aren't read. Lines are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,11 +37,26 @@ MIN_CHARS = 1
 #: A pair of lines may differ in one edit for so many characters of the shorter one.
 CHARS_PER_EDIT = 10
 _BASE = 0x9E3779B97F4A7C15
+_USUAL = 1 << 20
+#: A line that occurs more often is compared where it occurs first only, so that a line of a third of all texts is no hot key.
+REPEATS = 64
+#: Lines that are looked up that way at most; where more occur so often, REPEATS rises.
+MOST_REPEATED = 200_000
+#: Code points, padding included, of the pairs that are verified together.
+VERIFIED = 1 << 19
 
 
-@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """The first n powers of the base and of its inverse modulo 2^64; kept for chunks of the usual size."""
+    return _usual_powers() if n <= _USUAL else _new_powers(n)
+
+
+@functools.cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(_USUAL)
+
+
+def _new_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (_BASE, pow(_BASE, -1, 1 << 64)):
         x = np.full(n, b, np.uint64)
@@ -78,8 +94,7 @@ def allowed(size: np.ndarray, edits: int) -> np.ndarray:
 
 def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, left (probe) or right (index), id of distinct lines."""
-    n = 1 << max(20, int(len(cp)).bit_length())
-    pw, inv = _powers(n)
+    pw, inv = _powers(len(cp) + 1)
     code = tk.tables()["code"][cp]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * pw[: len(cp)], dtype=np.uint64)])
     size, every = e - s, np.arange(len(s))
@@ -203,6 +218,14 @@ def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray], edits: int) -> np
     return out
 
 
+def repeated(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines that occur more than REPEATS times: hash, ascending, with the first place (doc_id and line)."""
+    most = max(REPEATS, seen.count() // MOST_REPEATED)
+    got = seen.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("n") > most)
+    t = got.select("id", "first.doc_id", "first.line").orderBy("id").toArrow().combine_chunks()
+    return t["id"].to_numpy(), t["doc_id"].to_numpy(), t["line"].to_numpy()
+
+
 def _chunks(column: pa.Array) -> Iterator[tuple[int, tk.Text, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
     data, off = tk.utf8(column)
     for a, b in tk.chunks(off):
@@ -223,40 +246,58 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                 h = tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text + a)), pa.array(number)], names=["id", "doc_id", "line"])
 
+    def own_lines(batch: pa.RecordBatch) -> Iterator[tuple[tk.Text, np.ndarray, np.ndarray, np.ndarray]]:
+        """The distinct lines of each chunk of (text, doc_id): hash, start and end. What is repeated often is there at its first place only."""
+        ids, docs_, lines_ = often.value
+        for a, t, (text, number, s, e) in _chunks(batch.column(0)):
+            h = tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64)
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
+                doc = batch.column(1).to_numpy()[text + a]
+                first = (ids[at] != h) | ((docs_[at] == doc) & (lines_[at] == number))
+                h, s, e = h[first], s[first], e[first]
+            h, at = np.unique(h, return_index=True)
+            if len(h):
+                yield t, h, s[at], e[at]
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, t, (_, _, s, e) in _chunks(batch.column(0)):
-                h, at = np.unique(tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64), return_index=True)
-                key, left, ids = postings(t.cp, s[at], e[at], h, edits)
+            for t, h, s, e in own_lines(batch):
+                key, left, ids = postings(t.cp, s, e, h, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(left.astype(np.int8))], names=["key", "id", "left"])
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, t, (_, _, s, e) in _chunks(batch.column(0)):
-                h, at = np.unique(tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64), return_index=True)
+            for t, h, s, e in own_lines(batch):
                 raw, byte = t.data.tobytes(), t.byte
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[byte[p] : byte[q]] for p, q in zip(s[at], e[at], strict=True)], pa.binary())], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[byte[p] : byte[q]] for p, q in zip(s, e, strict=True)], pa.binary())], names=["id", "words"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            order = np.argsort([len(v) for v in x], kind="stable")
-            keep = np.zeros(len(x), bool)
-            for block in np.array_split(order, max(1, sum(map(len, x)) // 200_000)):
-                if len(block):
-                    px, py = [_points(x[i]) for i in block], [_points(y[i]) for i in block]
-                    shorter = np.array([min(len(p), len(q)) for p, q in zip(px, py, strict=True)])
-                    keep[block] = edit_distances(px, py, edits) <= allowed(shorter, edits)
+            size = np.array([max(len(v), len(w)) for v, w in zip(x, y, strict=True)], np.int64)
+            order = np.argsort(size, kind="stable")
+            keep, at = np.zeros(len(x), bool), 0
+            while at < len(order):  # blocks of lines of about equal length, bounded with their padding
+                fits = size[order[at:]] * np.arange(1, len(order) - at + 1) <= VERIFIED
+                block = order[at : at + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
+                px, py = [_points(x[i]) for i in block], [_points(y[i]) for i in block]
+                shorter = np.array([min(len(p), len(q)) for p, q in zip(px, py, strict=True)])
+                keep[block] = edit_distances(px, py, edits) <= allowed(shorter, edits)
+                at += len(block)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     seen = materialise(docs.mapInArrow(occur, "id long, doc_id long, line long"))
-    pairs = materialise(two_sided_pairs(docs.select("text").mapInArrow(post, "key long, id long, left byte")))
+    often = spark.sparkContext.broadcast(repeated(seen))
+    texts_first = docs.select("text", "doc_id")
+    pairs = two_sided_pairs(texts_first.mapInArrow(post, "key long, id long, left byte"))
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = materialise(docs.select("text").mapInArrow(text_of, "id long, words binary").join(small_side(wanted), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words")))
+    texts = materialise(texts_first.mapInArrow(text_of, "id long, words binary").join(small_side(wanted), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words")))
     side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"))
     near = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b").mapInArrow(verify, "a long, b long"))
     discard(spark, [pairs, wanted, texts])
-    group = small_side(materialise(components(near)))
+    group = small_side(components(near))
+    discard(spark, [near])
     rooted = seen.join(group, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "line")
     first = materialise(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first"))
     out = rooted.join(small_side(first), "root").select("doc_id", "line", F.col("first.doc_id").alias("of_doc"), F.col("first.line").alias("of_line"))

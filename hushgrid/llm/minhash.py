@@ -4,19 +4,23 @@ A text is the set of hashes of its word trigrams (lower case, punctuation droppe
 linked through a 128-bit digest of the set. For the others, inverted lists of retained values give the pairs that share some; the
 sketch of the union estimates their similarity, and exact Jaccard similarity of the whole sets verifies them.
 
-Lists stay short without any cap: a pair of similarity ``threshold`` shares at least ``t`` retained values, so each text is listed only
+Lists stay short without any cap: a pair whose union sketch passes shares at least ``t`` retained values, so each text is listed only
 under its rarest m - t + 1 of m values that occur at all elsewhere. Passages that many texts share are the most frequent
 values and so come last. Of the pairs of a list, those with its smallest member come first; members that are in one group by
-then need no pair among themselves, so a group of thousands of copies costs a star instead of a clique.
+then need no pair among themselves, so a group of thousands of copies costs a star instead of a clique. Lists are counted and their
+smallest members found by aggregation before any exchange; a list too long for a task is cut into blocks that meet pair by pair.
 
 Groups are the connected components of the verified pairs; the smallest doc_id of each stays.
 
 Defined cases: a text that is null, empty or without a word is nobody's copy, and so is a row without doc_id; a text of one or two
-words is one shingle; rows that repeat a doc_id count as one document; an empty table gives an empty result; other columns aren't read.
+words is one shingle; texts of any length are read whole; a pair at the threshold is near; of equally rare values the smaller is listed
+first; rows that repeat a doc_id count as one document; an empty table gives an empty result; other columns, whatever their names, aren't
+read, and filtering keeps them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +29,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkern as tk
-from .common import discard, materialise, small_side
+from .common import discard, fresh, materialise, small_side
 from .graph import components
+from .joins import one_sided_pairs
 
 K = 128
 SHINGLE = 3
 #: In the gap between copies and strangers: three trigrams go with each changed word, so a copy with a tenth of its words changed is at about 0.57.
 THRESHOLD = 0.5
-#: Least estimate of a candidate: about 3.6 standard deviations of a bottom-128 estimate below the threshold.
-LEAST_ESTIMATE = 0.34
+#: Standard deviations of the estimate that a candidate may lie below the threshold.
+DEVIATIONS = 3.6
+
+
+def least_estimate(threshold: float, k: int = K) -> float:
+    """Least estimate of a candidate: DEVIATIONS below the threshold, those of the share of k draws. About 0.34 at 0.5."""
+    return max(1 / k, threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / k))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -108,7 +118,7 @@ def verified(pairs: DataFrame, sk: DataFrame, docs: DataFrame, threshold: float)
     both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a")))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    candidates = materialise(both.where(shared >= LEAST_ESTIMATE * F.size(union)).select("a", "b").distinct())
+    candidates = materialise(both.where(shared >= least_estimate(threshold) * F.size(union)).select("a", "b").distinct())
     ids = materialise(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.where(F.col("doc_id").isNotNull()).join(small_side(ids), F.col("doc_id") == F.col("id"), "left_semi")
     text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
@@ -123,23 +133,25 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sk = materialise(sketches(docs))
     equal = sk.groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = materialise(equal)
-    equal = materialise(sk.join(small_side(equal), ["size", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
+    texts_of_equal = materialise(equal)
+    equal = materialise(sk.join(small_side(texts_of_equal), ["size", "d1", "d2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
     single = sk.join(small_side(equal.select(F.col("b").alias("doc_id")).distinct()), "doc_id", "left_anti")
-    posts = single.select("doc_id", F.size("sketch").alias("s"), F.explode("sketch").alias("v")).withColumn("f", F.count("*").over(Window.partitionBy("v"))).where("f > 1")
-    mine = Window.partitionBy("doc_id")
-    ranked = posts.withColumns({"m": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("f", "v"))})
-    index = materialise(ranked.where(F.col("r") <= F.col("m") - F.ceil(F.col("s") * F.lit(LEAST_ESTIMATE)) + 1).select("v", "doc_id"))
-    star = index.withColumn("a", F.min("doc_id").over(Window.partitionBy("v"))).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    posts = single.select("doc_id", "size", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    listed = posts.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    mine = Window.partitionBy("doc_id")  # K rows at most
+    ranked = posts.join(listed, "v").withColumns({"m": F.count("*").over(mine), "r": F.row_number().over(mine.orderBy("f", "v"))})
+    index = materialise(ranked.where(F.col("r") <= F.col("m") - F.ceil(F.col("s") * F.lit(least_estimate(threshold))) + 1).select(F.col("v").alias("key"), F.col("doc_id").alias("id"), "size"))
+    near_sizes = lambda x, y: (F.col(x) >= threshold * F.col(y)) & (F.col(y) >= threshold * F.col(x))
+    least = index.groupBy("key").agg(F.min(F.struct("id", "size")).alias("first"))
+    star = index.join(least, "key").where("id <> first.id").where(near_sizes("size", "first.size")).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
     first = verified(star, sk, docs, threshold)
-    roots = materialise(components(first.select("a", "b")))
-    linked = index.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("v", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    other = linked.select("v", F.col("doc_id").alias("b"), F.col("root").alias("root_b"))
-    rest = linked.withColumnRenamed("doc_id", "a").join(other, "v").where("a < b and root <> root_b").select("a", "b").distinct()
+    roots = components(first.select("a", "b"))
+    linked = index.join(small_side(roots.select(F.col("node").alias("id"), "root")), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), "size")
+    rest = one_sided_pairs(linked, ["size"], lambda p, x, y: np.minimum(p[0][x], p[0][y]) >= threshold * np.maximum(p[0][x], p[0][y]))
     second = verified(rest, sk, docs, threshold)
     edges = equal.unionAll(first.select("a", "b")).unionAll(second.select("a", "b"))
     out = components(edges)
-    discard(spark, [sk, index, roots, first, second, equal])
+    discard(spark, [sk, index, roots, rest, first, second, equal, texts_of_equal])
     return out
 
 
@@ -154,5 +166,6 @@ def copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without the near-copies, all columns unchanged. Rows without doc_id stay."""
-    gone = small_side(groups(docs, threshold).select(F.col("node").alias("gone_id")))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    name = fresh(docs.columns, "gone_id")
+    gone = small_side(groups(docs, threshold).select(F.col("node").alias(name)))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
