@@ -1,18 +1,24 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Every text becomes an entry: 64-bit digest, SHA-256, byte length, doc_id. Entries are split into digest ranges; in each, the
-partitions form LEAVES sorted runs, and in each binomial round FAN_IN runs go to one node, which merges them and keeps, for
-equal digests that SHA-256 and length verify, the smallest doc_id. The rounds move entries of some 60 bytes, never texts, and the
-number of ranges grows with the input, so that no merge holds more than about RANGE_ROWS entries.
-
-Defined cases: a null text equals nothing, the row stays; empty texts are equal; a null doc_id comes after all others; of repeated
-rows (same doc_id, same text) one stays; an empty table gives an empty result; other columns, whatever their names, only break ties.
+Every text becomes an entry: 64-bit digest, SHA-256, byte length, doc_id. Entries are split into digest ranges; of each range, a
+partition makes a run, sorted by digest. In the first round the runs of a range go to LEAVES nodes, in each further one FAN_IN runs go
+to a node. A node merges its runs, which stay sorted, two at a time, the shortest first, and keeps, for equal digests that SHA-256
+and length verify, the smallest doc_id. The rounds move entries of some 80 bytes, never texts; a partition sends one entry for each
+text that it has, and the number of ranges grows with the input, so that no node holds more than about RANGE_ROWS entries.
+
+Defined cases: a null text equals nothing, the row stays; empty texts are equal; texts of any length are hashed whole; a null doc_id comes
+after all others; of repeated rows (same doc_id, same text) one stays; an empty table gives an empty result; other columns, whatever their
+names, only break ties.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,29 +26,74 @@ from .common import fresh, materialise, small_side
 
 LEAVES = 16
 FAN_IN = 4
-RANGE_ROWS = 400_000
-RUN = "part int, node int, digest long, sha binary, size long, doc_id long, row long, n long, same long"
-RUN_ARROW = pa.schema([("part", pa.int32()), ("node", pa.int32()), ("digest", pa.int64()), ("sha", pa.binary()), ("size", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("same", pa.int64())])
-
-
-def merge_runs(group: pa.Table) -> pa.Table:
-    """Merge the sorted runs of a node: by digest, one entry for each verified text, of the smallest doc_id."""
-    if not group.num_rows:
-        return group
-    ints = {c: group[c].to_numpy() if c != "doc_id" else np.asarray(group[c].combine_chunks().fill_null(0)) for c in ("digest", "size", "doc_id", "row", "n", "same")}
-    null = np.asarray(group["doc_id"].combine_chunks().is_null())
-    sha = np.frombuffer(b"".join(group["sha"].to_pylist()), ">u8").reshape(-1, 4)
-    order = np.lexsort((ints["row"], ints["doc_id"], null, ints["size"], sha[:, 3], sha[:, 2], sha[:, 1], sha[:, 0], ints["digest"]))
-    d, s, z = ints["digest"][order], sha[order], ints["size"][order]
-    first = np.concatenate([[True], (d[1:] != d[:-1]) | (z[1:] != z[:-1]) | (s[1:] != s[:-1]).any(1)])
-    at = np.flatnonzero(first)
-    head = at[np.cumsum(first) - 1]
-    ident = [ints["doc_id"][order], ints["row"][order], null[order]]
-    winner = np.logical_and.reduce([x == x[head] for x in ident])
-    n = np.add.reduceat(ints["n"][order], at)
-    same = np.add.reduceat(np.where(winner, ints["same"][order], 0), at)
-    out = group.take(pa.array(order[at]))
-    return out.set_column(out.schema.get_field_index("n"), "n", pa.array(n)).set_column(out.schema.get_field_index("same"), "same", pa.array(same)).cast(RUN_ARROW)
+RANGE_ROWS = 200_000
+#: Entries that a partition gathers before it sends its runs.
+GATHERED = 1 << 18
+_KINDS = {"digest": np.int64, "sha": np.dtype((np.uint64, 4)), "size": np.int64, "null": np.bool_, "doc_id": np.int64, "row": np.int64, "n": np.int64, "same": np.int64}
+RUN = "part int, node int, " + ", ".join(f"{c} binary" for c in _KINDS)
+_RUN_ARROW = pa.schema([("part", pa.int32()), ("node", pa.int32()), *((c, pa.binary()) for c in _KINDS)])
+ENTRY = "digest long, sha binary, size long, doc_id long, row long, n long, same long"
+Run = dict[str, np.ndarray]
+
+
+def merged_order(digests: list[np.ndarray]) -> np.ndarray:
+    """The order that merges ascending arrays, given one after another: the two shortest ones first, equal digests in any order."""
+    start, todo = 0, []
+    for k, d in enumerate(digests):
+        todo.append((len(d), k, d, np.arange(start, start + len(d))))
+        start += len(d)
+    heapq.heapify(todo)
+    while len(todo) > 1:
+        (n, k, d, i), (m, _, e, j) = heapq.heappop(todo), heapq.heappop(todo)
+        at = np.searchsorted(d, e, "right") + np.arange(m)
+        other = np.ones(n + m, bool)
+        other[at] = False
+        both, index = np.empty(n + m, np.int64), np.empty(n + m, np.int64)
+        both[at], both[other], index[at], index[other] = e, d, j, i
+        heapq.heappush(todo, (n + m, k, both, index))
+    return todo[0][3] if todo else np.empty(0, np.int64)
+
+
+def settle(run: Run) -> Run:
+    """Of entries by ascending digest, one for each verified text, of the smallest doc_id (null last) and row. ``n`` counts the rows of the text,
+    ``same`` those of the kept doc_id and row."""
+    d = run["digest"]
+    if not len(d):
+        return run
+    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    size = np.diff(np.append(start, len(d)))
+    several = np.flatnonzero(np.repeat(size > 1, size))  # the rest is alone with its digest
+    if not len(several):
+        return run
+    sub = {c: x[several] for c, x in run.items()}
+    order = several[np.lexsort((sub["row"], sub["doc_id"], sub["null"], sub["size"], *sub["sha"].T[::-1], sub["digest"]))]
+    every = np.arange(len(d))
+    every[several] = order
+    run = {c: x[every] for c, x in run.items()}
+    new = np.concatenate([[True], (run["digest"][1:] != run["digest"][:-1]) | (run["size"][1:] != run["size"][:-1]) | (run["sha"][1:] != run["sha"][:-1]).any(1)])
+    at = np.flatnonzero(new)
+    head = at[np.cumsum(new) - 1]
+    winner = np.logical_and.reduce([run[c] == run[c][head] for c in ("null", "doc_id", "row")])
+    out = {c: x[at] for c, x in run.items()}
+    out["n"], out["same"] = np.add.reduceat(run["n"], at), np.add.reduceat(np.where(winner, run["same"], 0), at)
+    return out
+
+
+def merge(runs: list[Run]) -> Run:
+    order = merged_order([r["digest"] for r in runs])
+    return settle({c: np.concatenate([r[c] for r in runs])[order] for c in _KINDS})
+
+
+def _rows(runs: list[tuple[int, int, Run]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in runs], pa.int32()), pa.array([k for _, k, _ in runs], pa.int32()), *(pa.array([np.ascontiguousarray(r[c]).tobytes() for _, _, r in runs], pa.binary()) for c in _KINDS)], schema=_RUN_ARROW)
+
+
+def _read(table: pa.Table | pa.RecordBatch) -> list[Run]:
+    return [{c: np.frombuffer(table[c][i].as_buffer(), kind) for c, kind in _KINDS.items()} for i in range(table.num_rows)]
+
+
+def merge_node(group: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_rows([(group["part"][0].as_py(), group["node"][0].as_py(), merge(_read(group)))])])
 
 
 def digests(text: Column) -> list[Column]:
@@ -57,14 +108,45 @@ def survivors(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """One entry for each text: digest, sha, size, the smallest doc_id with its row hash, and how many rows have the text (``n``) and are the same row (``same``)."""
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     entries = docs.where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"), *digests(docs["text"]))
-    run = entries.select(
-        F.pmod("digest", F.lit(ranges)).cast("int").alias("part"), F.pmod(F.spark_partition_id(), F.lit(LEAVES)).cast("int").alias("node"), "digest", "sha", "size", "doc_id", "row", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("same")
-    )
-    nodes = LEAVES
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = TaskContext.get().partitionId() % LEAVES, []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            null = np.asarray(t["doc_id"].combine_chunks().is_null())
+            run = {"digest": t["digest"].to_numpy(), "sha": np.frombuffer(b"".join(t["sha"].to_pylist()), np.uint64).reshape(-1, 4), "size": t["size"].to_numpy(), "null": null, "doc_id": np.asarray(t["doc_id"].combine_chunks().fill_null(0)), "row": t["row"].to_numpy()}
+            run["n"] = run["same"] = np.ones(len(null), np.int64)
+            part = run["digest"] % ranges
+            order = np.lexsort((run["digest"], part))
+            at = np.searchsorted(part[order], np.arange(ranges + 1))
+            runs = [(k, node, settle({c: x[order[p:q]] for c, x in run.items()})) for k, (p, q) in enumerate(zip(at[:-1], at[1:], strict=True)) if q > p]
+            if runs:
+                yield _rows(runs)
+
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield from send()
+                held, n = [], 0
+        if n:
+            yield from send()
+
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _read(batch):
+                for a in range(0, len(r["digest"]), 1 << 14):
+                    x = {c: v[a : a + (1 << 14)] for c, v in r.items()}
+                    sha = [k.tobytes() for k in x["sha"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["digest"]), pa.array(sha, pa.binary()), pa.array(x["size"]), pa.array(x["doc_id"], mask=x["null"]), *(pa.array(x[c]) for c in ("row", "n", "same"))], names=["digest", "sha", "size", "doc_id", "row", "n", "same"])
+
+    run, nodes = entries.mapInArrow(leaves, RUN), LEAVES
     while True:
-        run = run.groupBy("part", "node").applyInArrow(merge_runs, RUN)
+        run = run.groupBy("part", "node").applyInArrow(merge_node, RUN)
         if nodes == 1:
-            return run.drop("part", "node")
+            return run.mapInArrow(entries_of, ENTRY)
         nodes = -(-nodes // FAN_IN)
         run = run.withColumn("node", (F.col("node") / FAN_IN).cast("int"))
 
