@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, quality classifier, exact dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes each stage's rows to the folder
-that the cluster shares and reads them again for the next one.
+that the cluster shares and reads them again for the next one; what a stage leaves there beside its rows goes with its end, and its rows
+once the next one has read them.
+
+Defined cases: a row whose text is null, empty or without a letter is rejected by the first stage; a null lang, source or n_chars counts as
+the operators say; rows without doc_id are never copies but of equal texts, and are packed; of repeated rows one stays; of copies the one of
+the smallest doc_id stays; texts of any length are read whole; ties go as the operators say; an empty table gives an empty result; further
+columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hushgrid.llm import exact_dedup, langid, minhash, packing, quality_fm
-from hushgrid.llm.common import materialise, table
+from hushgrid.llm.common import discard, materialise, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +46,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            kept = materialise(stage(spark, docs, sf_dir), scoped=False)
+        discard(spark, [docs])
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
