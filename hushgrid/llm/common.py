@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
-#: Rows of an Arrow batch. The default of 10,000 whole texts would hold tens of MB in the JVM and in each worker.
-ARROW_ROWS = "500"
+#: Bytes of an Arrow batch. The default of 10,000 whole texts would hold tens of MB in the JVM and in each worker.
+ARROW_BYTES = 2 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
     """Make Arrow batches small, unless the session has a size of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "64m", "67108864b", "67108864"):
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -54,13 +54,15 @@ def _crossed(begin_x: np.ndarray, n_x: np.ndarray, begin_y: np.ndarray, n_y: np.
 
 
 def _sides(key: np.ndarray, a: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, Pairs]:
-    """The order of the rows by key, right rows (0) first, without repeated ones; and, in that order, all pairs of a left and a right row of a key."""
+    """The order of the rows by key, right rows (0) first, then those of both sides (1), then left ones (2), without repeated ones; and, in
+    that order, all pairs of a left and a right row of a key."""
     order = np.lexsort((a, left, key))
     order = order[_firsts(key[order], left[order], a[order])]
     key, left = key[order], left[order]
     first = _firsts(key)
-    n_right = np.add.reduceat((left == 0).astype(np.int64), first)
-    return order, _crossed(first + n_right, np.diff(np.append(first, len(key))) - n_right, first, n_right)
+    size = np.diff(np.append(first, len(key)))
+    n_right, n_left = np.add.reduceat((left < 2).astype(np.int64), first), np.add.reduceat((left > 0).astype(np.int64), first)
+    return order, _crossed(first + size - n_left, n_left, first, n_right)
 
 
 def _two_sides(columns: list[np.ndarray], cells: bool) -> Pairs:
@@ -156,11 +158,12 @@ def _stream(rows: DataFrame, names: list[str], pairs: Callable[[list[np.ndarray]
 
 
 def _cells(late: DataFrame) -> DataFrame:
-    """The rows of long keys (key, id, left, …), in blocks of a side; each in the cells of its block with every block of the other side,
+    """The rows of long keys (key, id, left, …; those of both sides are taken apart), in blocks of a side; each in the cells of its block with every block of the other side,
     which become the ``key``."""
-    sizes = late.groupBy("key").agg(*[F.ceil(F.count_if(F.col("left") == k) / F.lit(BLOCK)).cast("long").alias(n) for k, n in ((0, "right_blocks"), (1, "left_blocks"))])
+    late = late.withColumn("left", F.explode(F.when(F.col("left") == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array("left"))))
+    sizes = late.groupBy("key").agg(*[F.ceil(F.count_if(F.col("left") == k) / F.lit(BLOCK)).cast("long").alias(n) for k, n in ((0, "right_blocks"), (2, "left_blocks"))])
     cut = late.join(small_side(materialise(sizes.where("right_blocks > 0 and left_blocks > 0"))), "key")
-    is_left = F.col("left") == 1
+    is_left = F.col("left") == 2
     own, other = F.when(is_left, F.col("left_blocks")).otherwise(F.col("right_blocks")), F.when(is_left, F.col("right_blocks")).otherwise(F.col("left_blocks"))
     each = cut.withColumn("block", F.pmod(F.xxhash64("id"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
     cell = F.xxhash64("key", F.when(is_left, F.col("block")).otherwise(F.col("other")), F.when(is_left, F.col("other")).otherwise(F.col("block")))
@@ -171,7 +174,7 @@ def _both_sides(late: DataFrame) -> DataFrame:
     """For pairs of other roots: all rows to the right, and to the left those without the most frequent root of the key."""
     often = late.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("often"))
     others = late.join(small_side(materialise(often)), "key").where("root <> often").drop("often")
-    return late.withColumn("left", F.lit(0).cast("long")).unionByName(others.withColumn("left", F.lit(1).cast("long")))
+    return late.withColumn("left", F.lit(0).cast("long")).unionByName(others.withColumn("left", F.lit(2).cast("long")))
 
 
 def _by_key(rows: DataFrame, names: list[str], pairs: Callable[[list[np.ndarray], bool], Pairs], two_sided: bool) -> DataFrame:
@@ -189,7 +192,7 @@ def _by_key(rows: DataFrame, names: list[str], pairs: Callable[[list[np.ndarray]
 
 
 def two_sided_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the ids of a left (1) and a right (0) row with equal keys, from rows (key, id, left)."""
+    """Pairs (a < b) of the ids of a left (2) and a right (0) row with equal keys, from rows (key, id, left); 1 is a row of both sides."""
     return _by_key(rows, ["key", "id", "left"], _two_sides, True)
 
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,15 @@ EDITS = 2
 MIN_CHARS = 1
 #: A pair of lines may differ in one edit for so many characters of the shorter one.
 CHARS_PER_EDIT = 10
+#: Sides of a posting: in the index, a probe of it, or both with one key.
+INDEX, BOTH, PROBE = 0, 1, 2
 _BASE = 0x9E3779B97F4A7C15
 _USUAL = 1 << 20
 #: A line that occurs more often is compared where it occurs first only, so that a line of a third of all texts is no hot key.
 REPEATS = 64
 #: Lines that are looked up that way at most; where more occur so often, REPEATS rises.
 MOST_REPEATED = 200_000
+_BLANKS = "".join(map(chr, tk._WHITE))
 #: Code points, padding included, of the pairs that are verified together.
 VERIFIED = 1 << 19
 
@@ -93,28 +97,28 @@ def allowed(size: np.ndarray, edits: int) -> np.ndarray:
 
 
 def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, left (probe) or right (index), id of distinct lines."""
+    """key, side and id of distinct lines."""
     pw, inv = _powers(len(cp) + 1)
     code = tk.tables()["code"][cp]
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * pw[: len(cp)], dtype=np.uint64)])
     size, every = e - s, np.arange(len(s))
-    keys, left, out = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+    keys, left, out = [np.empty(0, np.int64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]
 
-    def post(probe: bool, rows: np.ndarray, h: np.ndarray, target: np.ndarray, i: int) -> None:
+    def post(side: int, rows: np.ndarray, h: np.ndarray, target: np.ndarray, i: int) -> None:
         keys.append(tk.splitmix(h ^ tk.splitmix(target.astype(np.uint64) * np.uint64(64) + np.uint64(i))).astype(np.int64))
-        left.append(np.full(len(rows), probe))
+        left.append(np.full(len(rows), side, np.int8))
         out.append(ids[rows])
 
-    def add(probe: bool, rows: np.ndarray, start: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
-        post(probe, rows, (total[start + length] - total[start]) * inv[start], target, i)
+    def add(side: int, rows: np.ndarray, start: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
+        post(side, rows, (total[start + length] - total[start]) * inv[start], target, i)
 
-    def add_shortened(probe: bool, rows: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
+    def add_shortened(side: int, rows: np.ndarray, length: np.ndarray, target: np.ndarray, i: int) -> None:
         """The first ``length`` characters of the lines, with each one deleted in turn."""
         of = np.repeat(np.arange(len(rows)), length)
         start = s[rows][of]
         gap = start + np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
         h = (total[gap] - total[start]) * inv[start] + (total[start + length[of]] - total[gap + 1]) * inv[start + 1]
-        post(probe, rows[of], h, target[of], i)
+        post(side, rows[of], h, target[of], i)
 
     def segments(k: int, d: int, rows: np.ndarray, goal: np.ndarray) -> None:
         """One of k segments is equal."""
@@ -122,36 +126,33 @@ def postings(cp: np.ndarray, s: np.ndarray, e: np.ndarray, ids: np.ndarray, edit
         for i in range(k):  # the last ``longer`` segments have one character more
             length = base + (i >= k - longer)
             p = base * i + np.maximum(0, i - (k - longer))
-            if d == 0:
-                add(False, rows, s[rows] + p, length, goal, i)
             low, high = max(-i, d - (k - 1 - i)), min(i, d + (k - 1 - i))
             for o in range(low, high + 1):
                 fit = (p + o >= 0) & (p + o + length <= size[rows])
-                add(True, rows[fit], (s[rows] + p + o)[fit], length[fit], goal[fit], i)
+                add(BOTH if d == o == 0 else PROBE, rows[fit], (s[rows] + p + o)[fit], length[fit], goal[fit], i)
 
     def one_edit(d: int, rows: np.ndarray, goal: np.ndarray) -> None:
         """A character of each is replaced, or the longer one has one more."""
         if d == 0:
-            add(False, rows, s[rows], goal, goal, 60)
-            add_shortened(False, rows, goal, goal, 61)
-            add_shortened(True, rows, goal, goal, 61)
+            add(INDEX, rows, s[rows], goal, goal, 60)
+            add_shortened(BOTH, rows, goal, goal, 61)
         else:
-            add_shortened(True, rows, size[rows], goal, 60)
+            add_shortened(PROBE, rows, size[rows], goal, 60)
 
     def two_edits(d: int, rows: np.ndarray, goal: np.ndarray) -> None:
         """The second half is equal, or the first has one edit at most."""
         half = goal // 2
-        add(True, rows, e[rows] - (goal - half), goal - half, goal, 62)
-        add_shortened(True, rows, half + 1, goal, 60)
+        add(PROBE, rows, e[rows] - (goal - half), goal - half, goal, 62)
+        add_shortened(PROBE, rows, half + 1, goal, 60)
         if d == 0:
-            add(False, rows, e[rows] - (goal - half), goal - half, goal, 62)
-            add(False, rows, s[rows], half, goal, 60)
-            add_shortened(False, rows, half, goal, 61)
-            add(True, rows, s[rows], half - 1, goal, 61)
+            add(INDEX, rows, e[rows] - (goal - half), goal - half, goal, 62)
+            add(INDEX, rows, s[rows], half, goal, 60)
+            add_shortened(INDEX, rows, half, goal, 61)
+            add(PROBE, rows, s[rows], half - 1, goal, 61)
         if d < 2:
-            add_shortened(True, rows, half, goal, 61)
+            add_shortened(PROBE, rows, half, goal, 61)
         else:
-            add(True, rows, s[rows], half, goal, 60)
+            add(PROBE, rows, s[rows], half, goal, 60)
 
     for a in range(1, edits + 1):
         for d in range(a + 1):
@@ -178,6 +179,17 @@ def _plain_distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
+def alike(xs: list[bytes], ys: list[bytes], edits: int) -> np.ndarray:
+    """False for pairs that can't be within so many edits: an edit changes four bytes of each line at most, so 8 in the counts of bytes by class."""
+    n = len(xs)
+    sizes = np.array([len(v) for v in xs] + [len(v) for v in ys], np.int64)
+    data = np.frombuffer(b"".join(xs) + b"".join(ys), np.uint8)
+    bags = np.bincount(np.repeat(np.arange(2 * n) * 32, sizes) + (data & 31), minlength=64 * n).reshape(2 * n, 32)
+    wide = np.add.reduceat(data >= 128, np.minimum(np.cumsum(sizes) - sizes, len(data) - 1)) > 0 if len(data) else np.zeros(2 * n, bool)
+    most = np.where(wide[:n] | wide[n:], 8, 2) * edits  # two in lines of ASCII alone
+    return np.abs(bags[:n] - bags[n:]).sum(1) <= most
+
+
 def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray], edits: int) -> np.ndarray:
     """Edit distance of each pair of code point arrays, or edits + 1 where it is greater: bit vectors in a diagonal band
     (Hyyrö's form of Myers' algorithm), all pairs at a time. The band's last row first goes down the diagonal, then along
@@ -218,6 +230,18 @@ def edit_distances(xs: list[np.ndarray], ys: list[np.ndarray], edits: int) -> np
     return out
 
 
+def own_ids(t: tk.Text, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The hash of each line, as ``placed`` computes it."""
+    raw, byte, digest = t.data.tobytes(), t.byte, xxhash.xxh64_intdigest
+    return np.fromiter((digest(raw[p:q], 42) for p, q in zip(byte[s].tolist(), byte[e].tolist(), strict=True)), np.uint64, len(s)).astype(np.int64)
+
+
+def placed(docs: DataFrame, *keep: str) -> DataFrame:
+    """(id, words, line, …) of every line that isn't empty, without the blanks at its ends; the id is its hash. All in the JVM."""
+    cut = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("line", "raw")).withColumn("words", F.btrim("raw", F.lit(_BLANKS)))
+    return cut.where("words <> ''").select(F.xxhash64("words").alias("id"), "words", F.col("line").cast("long").alias("line"), *keep)
+
+
 def repeated(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the lines that occur more than REPEATS times: hash, ascending, with the first place (doc_id and line)."""
     most = max(REPEATS, seen.count() // MOST_REPEATED)
@@ -240,17 +264,11 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
-    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, t, (text, number, s, e) in _chunks(batch.column(1)):
-                h = tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(text + a)), pa.array(number)], names=["id", "doc_id", "line"])
-
     def own_lines(batch: pa.RecordBatch) -> Iterator[tuple[tk.Text, np.ndarray, np.ndarray, np.ndarray]]:
         """The distinct lines of each chunk of (text, doc_id): hash, start and end. What is repeated often is there at its first place only."""
         ids, docs_, lines_ = often.value
         for a, t, (text, number, s, e) in _chunks(batch.column(0)):
-            h = tk.segment_hash(tk.tables()["code"][t.cp], s, e).astype(np.int64)
+            h = own_ids(t, s, e)
             if len(ids):
                 at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
                 doc = batch.column(1).to_numpy()[text + a]
@@ -264,13 +282,7 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
         for batch in batches:
             for t, h, s, e in own_lines(batch):
                 key, left, ids = postings(t.cp, s, e, h, edits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(left.astype(np.int8))], names=["key", "id", "left"])
-
-    def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, h, s, e in own_lines(batch):
-                raw, byte = t.data.tobytes(), t.byte
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([raw[byte[p] : byte[q]] for p, q in zip(s, e, strict=True)], pa.binary())], names=["id", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(left)], names=["key", "id", "left"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,18 +293,20 @@ def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             while at < len(order):  # blocks of lines of about equal length, bounded with their padding
                 fits = size[order[at:]] * np.arange(1, len(order) - at + 1) <= VERIFIED
                 block = order[at : at + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))]
+                at += len(block)
+                block = block[alike([x[i] for i in block], [y[i] for i in block], edits)]
+                if not len(block):
+                    continue
                 px, py = [_points(x[i]) for i in block], [_points(y[i]) for i in block]
                 shorter = np.array([min(len(p), len(q)) for p, q in zip(px, py, strict=True)])
                 keep[block] = edit_distances(px, py, edits) <= allowed(shorter, edits)
-                at += len(block)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    seen = materialise(docs.mapInArrow(occur, "id long, doc_id long, line long"))
+    seen = materialise(placed(docs, "doc_id").select("id", "doc_id", "line"))
     often = spark.sparkContext.broadcast(repeated(seen))
-    texts_first = docs.select("text", "doc_id")
-    pairs = two_sided_pairs(texts_first.mapInArrow(post, "key long, id long, left byte"))
+    pairs = two_sided_pairs(docs.select("text", "doc_id").mapInArrow(post, "key long, id long, left byte"))
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = materialise(texts_first.mapInArrow(text_of, "id long, words binary").join(small_side(wanted), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words")))
+    texts = materialise(placed(docs).select("id", F.encode("words", "UTF-8").alias("words")).join(small_side(wanted), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words")))
     side = lambda c: texts.select(F.col("id").alias(c), F.col("words").alias(f"words_{c}"))
     near = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "words_b").mapInArrow(verify, "a long, b long"))
     discard(spark, [pairs, wanted, texts])
