@@ -79,10 +79,14 @@ def finding_id(pattern_id: Column, secret_hash: Column) -> Column:
     return F.substring(F.sha2(F.concat(pattern_id, secret_hash), 256), 1, 12)
 
 
+def lines(before: Column) -> Column:
+    """1-based line of what follows a text."""
+    return (1 + F.char_length(before) - F.char_length(F.replace(before, F.lit("\n")))).cast("int")
+
+
 def line_of(text: Column, chars: Column) -> Column:
     """1-based line of the character after so many characters."""
-    before = F.substring(text, F.lit(1), chars)
-    return (1 + F.char_length(before) - F.char_length(F.replace(before, F.lit("\n")))).cast("int")
+    return lines(F.substring(text, F.lit(1), chars))
 
 
 def column_of(text: Column, chars: Column) -> Column:

@@ -110,31 +110,32 @@ def dotenv_values(content: str) -> Iterator[tuple[str, str, int]]:
             yield m[1], m[2], m.start(2)
 
 
-def assignments(files: DataFrame, words: dict[int, tuple[str, ...]]) -> DataFrame:
-    """(path, content, ordinal, secret, value, chars) of files (path, content, candidates) that have candidates: the first pattern, in order,
-    one of whose words is in the name takes the literal. Values have 8 to 120 bytes."""
+def assigned(files: DataFrame, words: dict[int, tuple[str, ...]]) -> DataFrame:
+    """Files (path, content, candidates) with ``assigned``, the array of (ordinal, secret, value, chars) of their literals: the first pattern, in
+    order, one of whose words is in the name takes the literal. Values have 8 to 120 bytes. Only texts with candidates and a known language or
+    dotenv name go to Python."""
     from pyspark.sql import functions as F
 
     from ..functions import text as tx
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ordinals, secrets, values, chars = [], [], [], [], []
-            for k, (content, candidates, lang) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                groups = [(i, words[i]) for i in sorted(candidates)]
+    item = pa.struct([("ordinal", pa.int32()), ("secret", pa.string()), ("value", pa.string()), ("chars", pa.int32())])
+
+    @F.arrow_udf("array<struct<ordinal:int,secret:string,value:string,chars:int>>")
+    def literals(contents: pa.Array, candidates: pa.Array, languages: pa.Array) -> pa.Array:
+        out = []
+        for content, wanted, lang in zip(contents.to_pylist(), candidates.to_pylist(), languages.to_pylist(), strict=True):
+            got = []
+            if content is not None:
+                groups = [(i, words[i]) for i in sorted(wanted)]
                 for name, node, at in code_values(content, lang) if lang else dotenv_values(content):
                     value = strip_quotes(node)
                     if 8 <= len(value.encode()) <= 120:
-                        for i, w in groups:
-                            if is_trigger(name, w):
-                                rows.append(k)
-                                ordinals.append(i)
-                                secrets.append(node)
-                                values.append(value)
-                                chars.append(at)
-                                break
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(ordinals, pa.int32()), pa.array(secrets, pa.string()), pa.array(values, pa.string()), pa.array(chars, pa.int32())], names=["path", "content", "ordinal", "secret", "value", "chars"])
-
-    routed = files.where(F.size("candidates") > 0).select("path", "content", "candidates", F.when(~tx.is_dotenv(F.col("path")), tx.language(F.col("path"))).alias("language"))
-    return routed.mapInArrow(run, "path string, content string, ordinal int, secret string, value string, chars int")
+                        i = next((i for i, w in groups if is_trigger(name, w)), None)
+                        if i is not None:
+                            got.append({"ordinal": i, "secret": node, "value": value, "chars": at})
+            out.append(got)
+        return pa.array(out, pa.list_(item))
+
+    path = F.col("path")
+    routed = (F.size("candidates") > 0) & (tx.is_dotenv(path) | tx.language(path).isNotNull())
+    return files.withColumn("assigned", literals(F.when(routed, F.col("content")), F.col("candidates"), F.when(~tx.is_dotenv(path), tx.language(path))))

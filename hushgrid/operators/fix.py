@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .scan import ScanOptions, raw_findings
+from .scan import ScanOptions, nested
 
 REDACTED = "<REDACTED>"
 ACTIONS = ("redact", "placeholder", "delete", "ignore")
@@ -20,42 +20,39 @@ def _replace_spans(text: Column, edits: Column) -> Column:
     return F.aggregate(edits, text, lambda t, e: F.concat(F.substring(t, F.lit(1), e["a"]), e["new"], F.substring(t, e["b"] + 1, F.lit(1 << 30))))
 
 
-def _edits(action: str, marker: str) -> Column:
-    """The edit of a finding (chars, secret, head, tail, path, content)."""
-    a, b = F.col("chars"), F.col("chars") + F.char_length("secret")
+def _edit(x: Column, action: str, marker: str, env_names: Column) -> Column:
+    """The edit (a, b, new) of a placed match, in characters of the content; null where there is none."""
+    a, b = x["chars"], x["chars"] + F.char_length(x["secret"])
+    edit = lambda a, b, new: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), new.alias("new"))
     if action == "redact":
-        return F.struct(a.alias("a"), b.alias("b"), F.lit(REDACTED).alias("new"))
+        return edit(a, b, F.lit(REDACTED))
     if action == "placeholder":
-        return F.struct(a.alias("a"), b.alias("b"), F.concat(F.lit("${"), tx.env_name(F.col("pattern_id")), F.lit("}")).alias("new"))
-    start = a - F.char_length(F.substring_index(F.substring("content", F.lit(1), a), "\n", -1))
-    rest = F.substring("content", start + 1, F.lit(1 << 30))
+        return edit(a, b, F.concat(F.lit("${"), env_names[x["ordinal"]], F.lit("}")))
+    start, end = a - F.char_length(x["head"]), b + F.char_length(x["tail"])
     if action == "delete":  # the lines of the secret with the feed after them
-        whole = F.substring("content", b + 1, F.lit(1 << 30))
-        to_feed = F.char_length(F.substring_index(whole, "\n", 1))
-        return F.struct(start.alias("a"), F.least(b + to_feed + 1, F.char_length("content")).alias("b"), F.lit("").alias("new"))
-    end = start + F.char_length(F.substring_index(rest, "\n", 1))
-    return F.struct(end.alias("a"), end.alias("b"), F.concat(F.lit(" "), tx.comment_ignore(F.col("path"), marker)).alias("new"))
+        return edit(start, F.least(end + 1, F.char_length("content")), F.lit(""))
+    first = F.when(F.instr(x["secret"], "\n") > 0, a + F.char_length(F.substring_index(x["secret"], "\n", 1))).otherwise(end)
+    comment = tx.comment_ignore(F.col("path"), marker)
+    return F.when(comment.isNotNull(), edit(first, first, F.concat(F.lit(" "), comment)))
 
 
 def fixed(files: DataFrame, action: str, options: ScanOptions | None = None) -> DataFrame:
     """(path, content, n_edits) of the files that an action changes. No confidence and no baseline is looked at.
 
     Overlapping secrets are edited once, from the first's start; a line is deleted or marked once. ``ignore`` leaves
-    files alone whose comments aren't known. Nothing is written: the rows are the new contents."""
+    files alone whose comments aren't known. Each row is edited for itself, without a shuffle, whatever path others have. Nothing is written: the
+    rows are the new contents."""
     if action not in ACTIONS:
         raise ValueError(f"unknown action: {action}")
     o = options or ScanOptions()
-    found = raw_findings(files, o).select("path", "pattern_id", "ordinal", "line", "column", "secret")
-    lined = files.select("path", "content").join(found, "path")
-    before = F.call_function("substring_index", F.col("content"), F.lit("\n"), F.col("line") - 1)
-    head = F.when(F.col("line") > 1, F.char_length(before) + 1).otherwise(0)
-    placed = lined.withColumn("chars", (head + F.col("column") - 1).cast("int"))
-    edits = placed.select("path", "content", "ordinal", _edits(action, o.marker).alias("e")).where("e.new is not null")
-    each = edits.groupBy("path", "content").agg(F.sort_array(F.collect_set(F.struct(F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.new").alias("new")))).alias("es"))
-    # without overlaps: an edit that begins before the last one's end is left out
+    names = F.expr("array(" + ", ".join("'" + p.id.rpartition("/")[2].replace("-", "_").upper().replace("'", "") + "'" for p in o.registry.patterns) + ")")
+    every = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda x: _edit(x, action, o.marker, names)), lambda e: e.isNotNull())))
+    # without overlaps: an edit that begins before the last one's end, or where it begins, is left out
     start = F.array().cast("array<struct<a:int,b:int,new:string>>")
-    clear = F.aggregate("es", start, lambda acc, e: F.when((F.size(acc) > 0) & (e["a"] < F.element_at(acc, -1)["b"]) | (F.size(acc) > 0) & (e["a"] == F.element_at(acc, -1)["a"]), acc).otherwise(F.concat(acc, F.array(e))))
-    done = each.withColumn("es", clear)
+    late = lambda acc, e: (F.size(acc) > 0) & ((e["a"] < F.get(acc, F.size(acc) - 1)["b"]) | (e["a"] == F.get(acc, F.size(acc) - 1)["a"]))
+    clear = F.aggregate(every, start, lambda acc, e: F.when(late(acc, e), acc).otherwise(F.concat(acc, F.array(e))))
+    row = nested(files, o).select("path", "content", F.explode(F.array(F.struct(clear.alias("es")))).alias("x"))  # computed once a row
+    done = row.select("path", "content", "x.es").where(F.size("es") > 0)
     return done.select("path", _replace_spans(F.col("content"), F.reverse("es")).alias("content"), F.size("es").alias("n_edits"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from .scan import ScanOptions, raw_findings
 
 
@@ -40,12 +41,11 @@ def first_parent(commits: DataFrame, head: str) -> list[str]:
 
 
 def occurrences(commits: DataFrame, files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings of files (hash, path, content) with their commits. Equal contents of a path are scanned once."""
-    once = files.groupBy("path", F.sha2("content", 256).alias("blob")).agg(F.first("content").alias("content"))
-    keyed = once.select(F.concat("blob", F.lit("\0"), "path").alias("path"), "content")
-    found = raw_findings(keyed, options)
-    split = found.withColumn("blob", F.substring_index("path", "\0", 1)).withColumn("path", F.substring("path", F.lit(66), F.lit(1 << 30)))
-    return split.join(files.select("hash", "path", F.sha2("content", 256).alias("blob")), ["path", "blob"]).join(commits, "hash")
+    """Findings of files (hash, path, content) with their commits. Every content is scanned where it lies; findings alone are joined."""
+    found = raw_findings(files.select(F.concat("path", F.lit("\0"), "hash").alias("path"), "content"), options)
+    hashed = found.withColumn("hash", F.substring_index("path", "\0", -1)).withColumn("path", F.substring_index("path", "\0", 1))
+    rows = hashed.withColumn("fingerprint", tx.fingerprint(F.col("pattern_id"), F.col("path"), F.col("secret_hash")))
+    return rows.join(commits, "hash")
 
 
 def first_introductions(found: DataFrame, keep_all: bool = False) -> DataFrame:

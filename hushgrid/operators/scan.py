@@ -1,12 +1,14 @@
 """The scan: files (path, content) to findings.
 
-Plan: a narrow prefilter (one trie-shaped regex over the lower-cased text) names the candidate patterns of each file; only these rows
-are exploded and joined with the broadcast regex of each candidate. Everything stays in the JVM and without a shuffle; only assignments
-in source code, for the files that have a trigger word, go through Arrow. The dedup of generic findings shuffles findings, not texts.
+Plan: a narrow prefilter (one trie-shaped regex over the lower-cased text) names the candidate patterns of each file; their regexes are
+matched, and the matches placed, marked and deduplicated within the file's row, as arrays. Then the matches are exploded, without the
+text. Nothing is shuffled or joined but the few facts of the patterns. Only assignments in source code and dotenv files, for the files that
+have a trigger word, go through Arrow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import GENERIC, Registry
 from ..functions import text as tx
-from .assignments import assignments
+from .assignments import assigned
 
 FINDING = ("id", "path", "line", "column", "byte_start", "byte_end", "pattern_id", "severity", "confidence", "masked_line", "secret_masked", "secret_hash", "fingerprint")
 
@@ -24,7 +26,8 @@ class ScanOptions:
     registry: Registry = field(default_factory=Registry)
     severity: str = "low"
     marker: str = tx.IGNORE_MARKER
-    #: None runs all assignment patterns; False none.
+    #: Which strategies run.
+    regexes: bool = True
     assignments: bool = True
     dedup_generic: bool = True
 
@@ -35,45 +38,101 @@ def prefilter(files: DataFrame, registry: Registry) -> DataFrame:
     return files.withColumn("hits", hits)
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _candidates(hits: Column, registry: Registry, wanted: list[int]) -> Column:
     """Ordinals of the wanted patterns that a hit selects, and of those without keywords."""
-    keep, quoted = set(wanted), lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    pairs = [f"{quoted(w)}, array({', '.join(map(str, ok))})" for w, ids in sorted(registry.keywords().items()) if (ok := [i for i in ids if i in keep])]
+    keep = set(wanted)
+    pairs = [f"{_quoted(w)}, array({', '.join(map(str, ok))})" for w, ids in sorted(registry.keywords().items()) if (ok := [i for i in ids if i in keep])]
     always = [i for i in wanted if not registry.patterns[i].keywords]
     known, none = F.expr(f"map({', '.join(pairs)})"), F.expr("cast(array() as array<int>)")  # as text: one call to the JVM
     found = F.flatten(F.transform(hits, lambda h: F.coalesce(known[h], none))) if pairs else none
     return F.array_distinct(F.concat(found, F.array(*map(F.lit, always)).cast("array<int>"))) if always else F.array_distinct(found)
 
 
-def regex_matches(files: DataFrame, registry: Registry, ordinals: list[int]) -> DataFrame:
-    """(…, ordinal, secret, value, chars): every leftmost non-overlapping match, with the characters before it.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
 
-    The regex comes from a broadcast table of fixed size, so the plan doesn't grow with the patterns; the engine compiles it once a
-    candidate, which is little beside matching it over a text."""
-    rx = files.sparkSession.createDataFrame([(i, registry.patterns[i].regex) for i in ordinals], "ordinal int, rx string")
-    hit = files.where(F.size("candidates") > 0).select("path", "content", F.explode("candidates").alias("ordinal")).join(F.broadcast(rx), "ordinal")
-    found = hit.withColumn("m", F.regexp_extract_all("content", F.col("rx"), F.lit(0))).where(F.size("m") > 0)
-    sized = found.withColumns({"gaps": F.transform(F.split("content", F.col("rx"), -1), F.char_length), "sizes": F.transform("m", F.char_length)})
+def _matches(registry: Registry, candidates: Column) -> Column:
+    """Every leftmost non-overlapping match of the candidates: array of (ordinal, secret, value, chars), with the characters before it.
+
+    The regexes come from a constant array, so the plan doesn't grow with the files; the engine compiles one once a candidate, which is
+    little beside matching it over a text."""
+    rx = F.expr(f"array({', '.join(_quoted(p.regex) for p in registry.patterns)})")
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
-    place = lambda i: total(F.slice("gaps", F.lit(1), i + 1)) + total(F.slice("sizes", F.lit(1), i))
-    each = F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.struct(F.element_at("m", i + 1).alias("secret"), place(i).alias("chars")))
-    return sized.select("path", "content", "ordinal", F.explode(each).alias("x")).select("path", "content", "ordinal", F.col("x.secret").alias("secret"), F.col("x.secret").alias("value"), F.col("x.chars").alias("chars"))
+    content = F.col("content")
+
+    def places(x: Column) -> Column:
+        sizes = F.struct(F.transform(F.split(content, rx[x["ordinal"]], -1), F.char_length).alias("gaps"), F.transform(x["m"], F.char_length).alias("own"))
+        at = lambda g, i: total(F.slice(g["gaps"], F.lit(1), i + 1)) + total(F.slice(g["own"], F.lit(1), i))
+        return bound(sizes, lambda g: F.transform(x["m"], lambda t, i: F.struct(x["ordinal"].alias("ordinal"), t.alias("secret"), t.alias("value"), at(g, i).alias("chars"))))
+
+    hit = F.filter(F.transform(candidates, lambda o: F.struct(o.alias("ordinal"), F.regexp_extract_all(content, rx[o], F.lit(0)).alias("m"))), lambda x: F.size(x["m"]) > 0)
+    return F.flatten(F.transform(hit, places))
+
+
+def _without_generic(found: Column, generic: list[int]) -> Column:
+    """Without the generic matches that overlap a specific one; generic ones don't dedup each other."""
+    is_generic = lambda x: x["ordinal"].isin(*generic) if generic else F.lit(False)
+    end = lambda x: x["chars"] + F.char_length(x["secret"])
+    over = lambda x, y: ~is_generic(y) & (x["chars"] < end(y)) & (y["chars"] < end(x))
+    return bound(found, lambda every: F.filter(every, lambda x: ~is_generic(x) | ~F.exists(every, lambda y: over(x, y))))
+
+
+def _placed(x: Column, around: int) -> Column:
+    """A match with its place: bytes and line, what stands before and after it on its line, and so many lines above and below."""
+    content = F.col("content")
+    both = F.struct(F.substring(content, F.lit(1), x["chars"]).alias("before"), F.substring(content, x["chars"] + F.char_length(x["secret"]) + 1, F.lit(1 << 30)).alias("after"))
+    return bound(
+        both,
+        lambda t: F.struct(
+            *[x[c].alias(c) for c in ("ordinal", "secret", "value", "chars")],
+            F.octet_length(t["before"]).cast("long").alias("byte_start"),
+            tx.lines(t["before"]).alias("line"),
+            F.substring_index(t["before"], "\n", -1).alias("head"),
+            F.substring_index(t["after"], "\n", 1).alias("tail"),
+            *([F.slice(F.split(F.substring_index(t["before"], "\n", -1 - around), "\n"), 1, around).alias("above"), F.slice(F.split(F.substring_index(t["after"], "\n", 1 + around), "\n"), 2, around).alias("below")] if around else []),
+        ),
+    )
+
+
+def nested(files: DataFrame, options: ScanOptions | None = None, around: int = 0) -> DataFrame:
+    """(path, content, found) of the text files: ``found`` is the array of the placed matches, without those on a marked line. Every row is
+    scanned for itself."""
+    o = options or ScanOptions()
+    r = o.registry
+    runnable = r.runnable(o.severity)
+    plain = [i for i in runnable if r.patterns[i].strategy == "regex"] if o.regexes else []
+    by_name = [i for i in runnable if r.patterns[i].strategy == "assignment"] if o.assignments else []
+    rows = prefilter(files.select("path", "content").where(F.col("content").isNotNull() & ~tx.is_binary(F.col("content"))), r)
+    parts = []
+    if by_name:
+        rows = assigned(rows.withColumn("candidates", _candidates(F.col("hits"), r, by_name)), {i: r.patterns[i].keywords for i in by_name})
+        parts.append(F.col("assigned"))
+    if plain:
+        parts.insert(0, _matches(r, _candidates(F.col("hits"), r, plain)))
+    found = F.concat(*parts) if parts else F.expr("cast(array() as array<struct<ordinal:int,secret:string,value:string,chars:int>>)")
+    if o.dedup_generic and plain and by_name:
+        found = _without_generic(found, [i for i in runnable if r.patterns[i].id.startswith(GENERIC)])
+    first_line = lambda x: F.concat(x["head"], F.when(F.instr(x["secret"], "\n") > 0, F.substring_index(x["secret"], "\n", 1)).otherwise(F.concat(x["secret"], x["tail"])))
+    kept = F.filter(F.transform(found, lambda x: _placed(x, around)), lambda x: ~F.contains(first_line(x), F.lit(o.marker)))
+    return rows.select("path", "content", kept.alias("found"))
 
 
-def enrich(matches: DataFrame, registry: Registry, marker: str) -> DataFrame:
-    """Findings of matches (path, content, ordinal, secret, value, chars); the content isn't carried on."""
+def raw_findings(files: DataFrame, options: ScanOptions | None = None, around: int = 0) -> DataFrame:
+    """Findings with the secret itself, its entropy and the pattern's ordinal: for operators that need them, never for output."""
+    registry = (options or ScanOptions()).registry
     rows = [(i, p.id, p.severity, p.rank, 4.0 if p.strategy == "assignment" else p.min_entropy) for i, p in enumerate(registry.patterns)]
-    about = matches.sparkSession.createDataFrame(rows, "ordinal int, pattern_id string, severity string, severity_rank int, min_entropy double")
-    before = F.substring("content", F.lit(1), F.col("chars"))
-    after = F.substring("content", F.col("chars") + F.char_length("secret") + 1, F.lit(1 << 30))
-    placed = matches.select(
-        "path", "ordinal", "secret", "value", "chars", F.octet_length(before).cast("long").alias("byte_start"), tx.line_of(F.col("content"), F.col("chars")).alias("line"), F.substring_index(before, "\n", -1).alias("head"), F.substring_index(after, "\n", 1).alias("tail")
-    )
+    about = files.sparkSession.createDataFrame(rows, "ordinal int, pattern_id string, severity string, severity_rank int, min_entropy double")
+    once = nested(files, options, around).select("path", F.explode(F.array("found")).alias("found"))  # computed once: no filter is inferred from it
+    each = once.select("path", F.explode("found").alias("x")).select("path", "x.*").join(F.broadcast(about), "ordinal")
     several = F.instr("secret", "\n") > 0
-    start_line = F.concat("head", F.when(several, F.substring_index("secret", "\n", 1)).otherwise(F.concat("secret", "tail")))
-    kept = placed.where(~F.contains(start_line, F.lit(marker)))
     hidden, hashed = tx.mask(F.col("secret")), F.sha2("secret", 256)
-    return kept.join(F.broadcast(about), "ordinal").select(
+    return each.select(
         tx.finding_id(F.col("pattern_id"), hashed).alias("id"),
         "path",
         "line",
@@ -90,38 +149,10 @@ def enrich(matches: DataFrame, registry: Registry, marker: str) -> DataFrame:
         "ordinal",
         "secret",
         F.round(tx.entropy(F.col("value")), 6).alias("entropy"),
+        *(["above", "below"] if around else []),
     )
 
 
-def dedup_generic(findings: DataFrame) -> DataFrame:
-    """Without the generic findings that overlap one of a specific pattern in the same file; generic ones don't dedup each other."""
-    generic = F.col("pattern_id").startswith(GENERIC)
-    specific = findings.where(~generic).select(F.col("path").alias("s_path"), F.col("byte_start").alias("s_start"), F.col("byte_end").alias("s_end"))
-    overlap = (F.col("path") == F.col("s_path")) & (F.col("byte_start") < F.col("s_end")) & (F.col("s_start") < F.col("byte_end"))
-    return findings.where(~generic).unionByName(findings.where(generic).join(specific, overlap, "left_anti"))
-
-
-def raw_findings(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
-    """Findings with the secret itself, its entropy and the pattern's ordinal: for operators that need them, never for output."""
-    o = options or ScanOptions()
-    r = o.registry
-    runnable = r.runnable(o.severity)
-    plain = [i for i in runnable if r.patterns[i].strategy == "regex"]
-    assigned = [i for i in runnable if r.patterns[i].strategy == "assignment"] if o.assignments else []
-    usable = prefilter(files.select("path", "content").where(F.col("content").isNotNull() & ~tx.is_binary(F.col("content"))), r)
-    parts = []
-    if plain:
-        parts.append(regex_matches(usable.withColumn("candidates", _candidates(F.col("hits"), r, plain)), r, plain))
-    if assigned:
-        routed = usable.where(tx.is_dotenv(F.col("path")) | tx.language(F.col("path")).isNotNull())
-        parts.append(assignments(routed.withColumn("candidates", _candidates(F.col("hits"), r, assigned)), {i: r.patterns[i].keywords for i in assigned}))
-    if not parts:
-        parts.append(regex_matches(usable.withColumn("candidates", F.array().cast("array<int>")), r, [0]))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = enrich(found, r, o.marker)
-    return dedup_generic(out) if o.dedup_generic and assigned and plain else out
-
-
 def scan(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     """Findings of files (path, content): positions, masked texts, identities; no secret leaves the scan.
 
@@ -134,15 +165,20 @@ def at_least(findings: DataFrame, minimum: str = "high") -> DataFrame:
     return findings if minimum == "low" else findings.where(F.col("confidence") == "high")
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """By file and place, ties by pattern."""
-    return findings.orderBy("path", "byte_start", "pattern_id", "byte_end")
+def ordered(findings: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """By file and place; of equal places in the order of the registry."""
+    place = F.expr("map(" + ", ".join(f"{_quoted(p.id)}, {i}" for i, p in enumerate((registry or Registry()).patterns)) + ")")
+    return findings.orderBy("path", "byte_start", place[F.col("pattern_id")], "byte_end")
 
 
-def context_lines(findings: DataFrame, files: DataFrame, around: int = 1) -> DataFrame:
-    """The lines around each finding, with the secrets of all findings of the file masked: (id, path, byte_start, number, text, is_finding)."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "text")).withColumn("number", (F.col("n") + 1).cast("int"))
-    masked = findings.groupBy("path", "line").agg(F.max_by("masked_line", F.struct(-F.col("byte_start"))).alias("masked_line"))
-    shown = lines.join(findings.select("path").distinct(), "path", "left_semi").join(masked.withColumnRenamed("line", "number"), ["path", "number"], "left").select("path", "number", F.coalesce("masked_line", "text").alias("text"))
-    around_each = findings.select("id", "path", "byte_start", "line", F.explode(F.sequence(F.col("line") - around, F.col("line") + around)).alias("number"))
-    return around_each.join(shown, ["path", "number"]).select("id", "path", "byte_start", "number", "text", (F.col("number") == F.col("line")).alias("is_finding"))
+def context_lines(files: DataFrame, options: ScanOptions | None = None, minimum: str = "low", around: int = 1) -> DataFrame:
+    """The lines around each finding, from its own scan: (id, path, byte_start, line, number, text, is_finding). A line with findings is shown with the
+    first one's secret masked; only findings are exchanged for that."""
+    raw = raw_findings(files, options, around)
+    found = at_least(raw, minimum)
+    masked = raw.groupBy(F.col("path").alias("m_path"), F.col("line").alias("m_line")).agg(F.min_by("masked_line", F.struct("byte_start", "ordinal")).alias("m_text"))
+    numbered = lambda lines, first: F.transform(lines, lambda t, i: F.struct((first + i).cast("int").alias("number"), t.alias("text")))
+    every = F.concat(numbered(F.col("above"), F.col("line") - F.size("above")), F.array(F.struct(F.col("line").alias("number"), F.col("masked_line").alias("text"))), numbered(F.col("below"), F.col("line") + 1))
+    rows = found.select("id", "path", "byte_start", "line", F.explode(every).alias("x")).select("id", "path", "byte_start", "line", "x.number", "x.text")
+    shown = rows.join(masked, (F.col("path") == F.col("m_path")) & (F.col("number") == F.col("m_line")), "left")
+    return shown.select("id", "path", "byte_start", "line", "number", F.coalesce("m_text", "text").alias("text"), (F.col("number") == F.col("line")).alias("is_finding"))

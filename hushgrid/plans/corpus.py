@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import IGNORE_MARKER
 
 
+def row_groups(path: str) -> int | None:
+    """Row groups of a table on a local path, from the footers alone; null elsewhere."""
+    local = path.removeprefix("file://")
+    found = [local] if os.path.isfile(local) else sorted(glob.glob(f"{local}/*.parquet"))
+    return sum(pq.ParquetFile(f).metadata.num_row_groups for f in found) if found else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table; if it lies in fewer row groups than there are cores, which no reader can split, its rows are dealt out first."""
+    cores, groups = spark.sparkContext.defaultParallelism, row_groups(f"{sf_dir}/{name}.parquet")
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(4 * cores) if groups is not None and groups < cores else rows
+
+
 def planted_line(key: Column) -> Column:
     """By the key's residue of 7: a token, a cloud key, a payment key, a token without entropy, a marked token, an assignment, an assigned payment key."""
     sha, k = F.sha2(key.cast("string"), 256), F.pmod(key, F.lit(7))
@@ -38,7 +56,7 @@ def planted_line_sql(key: str) -> str:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of all documents; extensions go round."""
-    d = table(spark, sf_dir, "documents")
+    d = spread_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     k, n = F.pmod("doc_id", F.lit(5)), F.col("doc_id").cast("string")
     name = F.when(k == 0, F.concat(n, F.lit(".py"))).when(k == 1, F.concat(n, F.lit(".js"))).when(k == 2, F.concat(n, F.lit(".go"))).when(k == 3, F.concat(F.lit(".env."), n)).otherwise(F.concat(n, F.lit(".md")))
     return d.select(F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/"), name).alias("path"), F.concat("text", F.lit("\n"), planted_line(F.col("doc_id"))).alias("content"))

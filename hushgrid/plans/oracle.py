@@ -87,7 +87,7 @@ _ASSIGN = [(i, p) for i, p in enumerate(R.patterns) if p.strategy == "assignment
 _NAMED = "regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g')"
 _LOOSE = lambda w: chr(1).join([]) + "\x01?".join("\\" + c if not c.isalnum() and c != "_" else c for c in w)
 _RX = r"(?m)^([A-Za-z_][A-Za-z0-9_.\-]*)\s*=\s*[''\x22]?([^\s#''\x22]{8,120})[''\x22]?"
-_ENV_FILES = "env AS (SELECT 'cfg/.env.' || regexp_extract(path, '[0-9]+') AS path, content FROM files)"
+_ENV_FILES = "env AS (SELECT 'cfg/.env.' || regexp_extract(path, '([0-9]+)([.][a-z]+)?$', 1) AS path, content FROM files)"
 _TRIGGER = " ".join(f"WHEN list_has_any(hits, [{', '.join(q(w) for w in p.keywords)}]) AND regexp_matches(lower({_NAMED}), '(^|[_.\x01-])(' || {q('|'.join(_LOOSE(w) for w in p.keywords))} || ')($|[_.\x01-])') THEN {i}" for i, p in _ASSIGN)
 _IDS = " ".join(f"WHEN {i} THEN {q(p.id)}" for i, p in _ASSIGN)
 DOTENV = f"""{_ENV_FILES},
@@ -101,7 +101,7 @@ generic AS (SELECT path, CASE ordinal {_IDS} END AS pattern_id, strlen(before)::
     (1 + length(before) - length(replace(before, chr(10), '')))::INTEGER AS line, sha256(val) AS secret_hash, CASE WHEN {entropy('val')} >= 4.0 THEN 'high' ELSE 'low' END AS confidence FROM env_line WHERE NOT contains(whole, {q(tx.IGNORE_MARKER)}))"""
 SQL["dotenv_assignments"] = f"WITH {FILES_SQL},\n{DOTENV}\nSELECT * FROM generic"
 SQL["generic_dedup"] = f"""WITH {FILES_SQL},\n{FOUND},\n{DOTENV},
-specific AS (SELECT 'cfg/.env.' || regexp_extract(path, '[0-9]+') AS path, pattern_id, byte_start, byte_end, confidence FROM found)
+specific AS (SELECT 'cfg/.env.' || regexp_extract(path, '([0-9]+)([.][a-z]+)?$', 1) AS path, pattern_id, byte_start, byte_end, confidence FROM found)
 SELECT * FROM specific UNION ALL SELECT path, pattern_id, byte_start, byte_end, confidence FROM generic g WHERE NOT EXISTS (
     SELECT 1 FROM specific s WHERE s.path = g.path AND g.byte_start < s.byte_end AND s.byte_start < g.byte_end)"""
 SQL["baseline_suppressed"] = _scan("SELECT fingerprint, path, pattern_id, confidence FROM found WHERE fingerprint NOT IN (SELECT fingerprint FROM baseline)", BASE)

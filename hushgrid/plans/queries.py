@@ -14,13 +14,12 @@ from ..operators import fix as fx
 from ..operators import history as hist
 from ..operators import report
 from ..operators import suppress as sup
-from ..operators.assignments import assignments
-from ..operators.scan import FINDING, ScanOptions, _candidates, at_least, context_lines, enrich, prefilter, raw_findings, scan
+from ..operators.scan import FINDING, ScanOptions, at_least, context_lines, prefilter, raw_findings, scan
 from ..operators.verify import verification_counts, verify
 from ..sources.globs import excluded
 from ..streaming import editor
 from . import commands
-from .corpus import commit_files, files, table
+from .corpus import commit_files, files, spread_table, table
 
 NATIVE = ScanOptions(assignments=False)
 EXCLUDES = ("*.min.js", "vendor/", "/build/**", "2*.html")
@@ -49,9 +48,10 @@ def half_baseline(findings: DataFrame) -> DataFrame:
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every keyword hit of documents, pages and conversations."""
     texts = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")]
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(i).cast("long").alias("row_id"), F.col(c).alias("content")) for t, i, c in texts]
+    parts = [spread_table(spark, sf_dir, t).select(F.lit(t).alias("src"), F.col(i).cast("long").alias("row_id"), F.col(c).alias("content")) for t, i, c in texts]
     every = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return prefilter(every, Registry()).select("src", "row_id", F.explode("hits").alias("keyword"))
+    once = prefilter(every, Registry()).select("src", "row_id", F.explode(F.array("hits")).alias("hits"))  # no filter is inferred from the search
+    return once.select("src", "row_id", F.explode("hits").alias("keyword"))
 
 
 @query
@@ -97,18 +97,14 @@ def scan_with_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dotenv_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents read as dotenv files: generic findings before their dedup."""
-    env = files(spark, sf_dir).select(F.concat(F.lit("cfg/.env."), F.regexp_extract("path", "[0-9]+", 0)).alias("path"), "content")
-    r = Registry()
-    ids = [i for i, p in enumerate(r.patterns) if p.strategy == "assignment"]
-    hits = prefilter(env.where("content is not null"), r)
-    raw = assignments(hits.withColumn("candidates", _candidates(F.col("hits"), r, ids)), {i: r.patterns[i].keywords for i in ids})
-    return enrich(raw, r, tx.IGNORE_MARKER).select("path", "pattern_id", "byte_start", "byte_end", "line", "secret_hash", "confidence")
+    env = files(spark, sf_dir).select(F.concat(F.lit("cfg/.env."), F.regexp_extract("path", "([0-9]+)([.][a-z]+)?$", 1)).alias("path"), "content")
+    return raw_findings(env, ScanOptions(regexes=False)).select("path", "pattern_id", "byte_start", "byte_end", "line", "secret_hash", "confidence")
 
 
 @query
 def generic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the specific patterns: generic findings that overlap a specific one are gone."""
-    env = files(spark, sf_dir).select(F.concat(F.lit("cfg/.env."), F.regexp_extract("path", "[0-9]+", 0)).alias("path"), "content")
+    env = files(spark, sf_dir).select(F.concat(F.lit("cfg/.env."), F.regexp_extract("path", "([0-9]+)([.][a-z]+)?$", 1)).alias("path"), "content")
     return scan(env).select("path", "pattern_id", "byte_start", "byte_end", "confidence")
 
 
@@ -255,8 +251,7 @@ for _action in fx.ACTIONS:
 
 @query
 def finding_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    return context_lines(scan(f, NATIVE), f).select("path", "number", "text", "is_finding")
+    return context_lines(files(spark, sf_dir), NATIVE).select("path", "number", "text", "is_finding")
 
 
 @query

@@ -70,11 +70,12 @@ def read(spark: SparkSession, paths: Iterable[str], excludes: Iterable[str] = ()
         local = given.removeprefix("file://")
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True)
         if os.path.isfile(local):
-            one = raw.load(given).select(F.lit(given).alias("path"), "length", F.col("content").alias("bytes"))
+            one = raw.load("file://" + os.path.abspath(local)).select(F.lit(given).alias("path"), "length", F.col("content").alias("bytes"))
             parts.append(usable(one, max_size))
             continue
         root = os.path.abspath(local) if "://" not in given or given.startswith("file://") else given.rstrip("/")
-        found = raw.load(given).withColumn("full", F.regexp_replace("path", r"^file:/+", "/"))
+        # the JVM has a working folder of its own: local paths are given to it whole
+        found = raw.load("file://" + root if os.path.isdir(root) else given).withColumn("full", F.regexp_replace("path", r"^file:/+", "/"))
         inner = F.regexp_replace("full", "^" + re.escape(root) + "/*", "")
         rows = found.select(inner.alias("inner"), "length", F.col("content").alias("bytes"))
         unlisted = hidden(spark, root) if os.path.isdir(root) else None

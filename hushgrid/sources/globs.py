@@ -81,15 +81,15 @@ def ignored(path: Column, files: Iterable[tuple[str, Iterable[str]]]) -> Column:
 
 def excluded(path: Column, globs: Iterable[str], mode: str = "scan", root: str = "") -> Column:
     """Whether a path matches one of the exclude globs. Modes: ``scan`` (as in an ignore file), ``history`` (over the whole path, a star
-    crosses folders), ``editor`` (a leading slash is the root, others match at any depth; absolute or relative to the root)."""
+    crosses folders), ``editor`` (the whole path, absolute or relative to the root; a leading slash is the root, others match at any depth; a star crosses
+    folders, and a folder's name alone excludes nothing: write ``out/**``)."""
     globs = [g for g in globs if g]
     if mode == "scan":
         return ignored(path, [("", globs)])
     if mode == "history":
         rx = [f"(?s)^{glob_regex(g, True)}$" for g in globs]
     elif mode == "editor":
-        own = [glob_regex(g.lstrip("/") if g.startswith("/") else "**/" + g.removeprefix("**/")) for g in globs]
-        rx = [f"^(?:{re.escape(root.rstrip('/') + '/')})?{g}(?:/.*)?$" if root else f"^{g}(?:/.*)?$" for g in own]
+        rx = ["(?s)^" + (re.escape(root.rstrip("/")) + glob_regex(g, True) if g.startswith("/") else glob_regex("**/" + g, True)) + "$" for g in globs]
     else:
         raise ValueError(f"unknown dialect: {mode}")
     return reduce(lambda a, b: a | b, [path.rlike(x) for x in rx], F.lit(False))

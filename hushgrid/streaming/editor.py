@@ -121,20 +121,21 @@ def fresh_verifications(requests: DataFrame, verified: DataFrame, ttl_s: int = V
     return known.groupBy("id", "ts").agg(F.max_by("status", "v_ts").alias("status"))
 
 
-def verification_requests(stream: DataFrame, ttl_s: int = VERIFICATION_TTL_S, in_flight_s: int = IN_FLIGHT_S) -> DataFrame:
+def verification_requests(stream: DataFrame, ttl_s: int = VERIFICATION_TTL_S, in_flight_s: int = IN_FLIGHT_S, lateness: str = LATENESS) -> DataFrame:
     """(id, ask, status) for each row of a stream (id, status, ts; a null status asks, another one answers): a question is passed on
     unless an answer of at most ``ttl_s`` seconds is known or one is under way for less than ``in_flight_s``. State is kept by id and goes
-    after ``ttl_s`` without a row."""
+    when the watermark is ``ttl_s`` past its last row, so it holds the ids of a bounded time."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         status, at, asked = state.get if state.exists else ("", 0, 0)
-        out = []
+        out, last = [], 0
         for f in frames:
             for r in f.sort_values("ts").itertuples():
                 now = int(r.ts.timestamp() * 1000)
+                last = max(last, now)
                 if isinstance(r.status, str):
                     status, at, asked = r.status, now, 0
                 elif status and now - at <= ttl_s * 1000:
@@ -145,10 +146,10 @@ def verification_requests(stream: DataFrame, ttl_s: int = VERIFICATION_TTL_S, in
                     asked = now
                     out.append((key[0], True, None))
         state.update((status, at, asked))
-        state.setTimeoutDuration(ttl_s * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_s * 1000)
         yield pd.DataFrame(out, columns=["id", "ask", "status"]).astype({"ask": bool})
 
-    return stream.groupBy("id").applyInPandasWithState(step, "id string, ask boolean, status string", "status string, at long, asked long", "append", "ProcessingTimeTimeout")
+    return stream.withWatermark("ts", lateness).groupBy("id").applyInPandasWithState(step, "id string, ask boolean, status string", "status string, at long, asked long", "append", "EventTimeTimeout")
 
 
 def publish(states: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], options: ScanOptions | None = None, minimum: str = "high", ignored: DataFrame | None = None, checkpoint: str | None = None) -> Any:

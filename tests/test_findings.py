@@ -179,7 +179,7 @@ def test_diagnostics_actions_and_hover(spark):
     text = editor.hover(d.where(F.col("finding_id") == one.finding_id), r, spark.createDataFrame([(one.finding_id, True)], "finding_id string, in_head boolean"), v, now).first().text
     assert "It is committed" in text and "live, verified 1 hour ago" in text
     edits = spark.createDataFrame([("/w/a.py",), ("/x/b.py",), ("/w/out/c.py",)], "uri string")
-    assert [x.watched for x in editor.in_workspace(edits, "/w", ("out/",)).orderBy("uri").collect()] == [True, False, False]
+    assert [x.watched for x in editor.in_workspace(edits, "/w", ("out/**",)).orderBy("uri").collect()] == [True, False, False]
 
 
 def test_pattern_lists(spark):

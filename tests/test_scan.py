@@ -184,7 +184,7 @@ def test_spans_give_the_secret_and_ids_depend_on_pattern_and_secret(spark):
 
 def test_context_lines_mask(spark):
     files = spark.createDataFrame([("a", "x\nSECRET_ABCDEFGH\ny\nz")], "path string, content string")
-    rows = context_lines(scan(files, ScanOptions(SECRET)), files).orderBy("number").collect()
+    rows = context_lines(files, ScanOptions(SECRET)).orderBy("number").collect()
     assert [(r.number, r.text, r.is_finding) for r in rows] == [(1, "x", False), (2, "SE••••••••GH", True), (3, "y", False)]
 
 
