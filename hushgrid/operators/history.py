@@ -31,13 +31,20 @@ def walk(commits: DataFrame, limit: int | None = None, since: str | None = None,
 
 
 def first_parent(commits: DataFrame, head: str) -> list[str]:
-    """Hashes of the first-parent line from a commit back. A walk along one line is sequential: the driver follows it over (hash, parent)."""
-    parent = {r[0]: r[1] for r in commits.select("hash", "parent").collect()}
-    out = []
-    while head in parent and head not in out[-1:]:
-        out.append(head)
-        head = parent[head]
-    return out
+    """Hashes of the first-parent line from a commit back. Pointers double in each round (2^k-th ancestors), so a line of n commits takes log n
+    joins; only the line itself, which is the result, comes to the driver."""
+    jump = commits.select("hash", "parent").where("parent is not null")
+    line = commits.where(F.col("hash") == head).select("hash", F.lit(0).cast("long").alias("n"))
+    step, size = 1, line.count()
+    while size:
+        ahead = line.join(jump, "hash").select(F.col("parent").alias("hash"), (F.col("n") + step).alias("n")).join(commits.select("hash"), "hash", "left_semi")
+        line = line.unionAll(ahead).checkpoint() if line.sparkSession.conf.get("spark.checkpoint.dir", None) else line.unionAll(ahead).cache()
+        now = line.count()
+        if now < size + step:
+            break
+        jump = jump.join(jump.select(F.col("hash").alias("parent"), F.col("parent").alias("next")), "parent").select("hash", F.col("next").alias("parent"))
+        step, size = 2 * step, now
+    return [r[0] for r in line.orderBy("n").collect()]
 
 
 def occurrences(commits: DataFrame, files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
@@ -51,13 +58,14 @@ def occurrences(commits: DataFrame, files: DataFrame, options: ScanOptions | Non
 def first_introductions(found: DataFrame, keep_all: bool = False) -> DataFrame:
     """One row for each secret of each pattern: the earliest occurrence, how many there are, one representative; with ``keep_all`` all of
     them. Of equal dates the newest-first walk's first commit counts, by hash."""
-    place = F.struct("date", F.col("hash"), "path", "line", "column")
-    latest = F.struct("date", F.col("hash"), "path", "line", "column", "masked_line", "id", "severity", "confidence")
+    known = [c for c in ("short_hash", "author_name", "author_email", "message") if c in found.columns]
+    place = F.struct("date", F.col("hash"), "path", "line", "column", "masked_line", *known)
+    latest = F.struct("date", F.col("hash"), "path", "line", "column", "masked_line", "secret_masked", "id", "severity", "confidence")
     aggs = [F.count("*").alias("occurrence_count"), F.min(place).alias("introduced"), F.max(latest).alias("shown")]
     if keep_all:
-        aggs.append(F.sort_array(F.collect_list(F.struct("date", "hash", "path", "line", "column", "masked_line"))).alias("occurrences"))
+        aggs.append(F.sort_array(F.collect_list(place)).alias("occurrences"))
     out = found.groupBy("pattern_id", "secret_hash").agg(*aggs)
-    return out.select("pattern_id", "secret_hash", F.col("shown.id").alias("id"), F.col("shown.severity").alias("severity"), F.col("shown.confidence").alias("confidence"), F.col("shown.path").alias("path"), F.col("shown.masked_line").alias("masked_line"), F.col("introduced.hash").alias("introduced_in"), F.col("introduced.date").alias("introduced_at"), "occurrence_count", *(["occurrences"] if keep_all else []))
+    return out.select("pattern_id", "secret_hash", F.col("shown.id").alias("id"), F.col("shown.severity").alias("severity"), F.col("shown.confidence").alias("confidence"), F.col("shown.path").alias("path"), F.col("shown.masked_line").alias("masked_line"), F.col("shown.secret_masked").alias("secret_masked"), "introduced", F.col("introduced.hash").alias("introduced_in"), F.col("introduced.date").alias("introduced_at"), "occurrence_count", *(["occurrences"] if keep_all else []))
 
 
 def adjacent_once(found: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import glob
 import os
+import pkgutil
 
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,24 @@ def planted_line_sql(key: str) -> str:
     )
 
 
+@functools.cache
+def samples() -> tuple[tuple[tuple[tuple[str, str], ...], str], ...]:
+    """One line for each builtin regex, with the pattern and severity (two of them, where two patterns fit) that are to be found in it."""
+    out = []
+    for line in pkgutil.get_data(__name__, "samples.txt").decode().splitlines():
+        found, _, text = line.partition(" ¦ ")
+        out.append((tuple(tuple(x.split(" ")) for x in found.split(" + ")), text))
+    return tuple(out)
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of all documents, each with one of the sample lines at its end, in turn."""
+    lines = [x for _, x in samples()]
+    d = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
+    line = F.element_at(F.array(*map(F.lit, lines)), (F.pmod("doc_id", F.lit(len(lines))) + 1).cast("int"))
+    return d.select(F.col("doc_id").cast("string").alias("path"), F.concat("text", F.lit("\n"), line).alias("content"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of all documents; extensions go round."""
     d = spread_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -62,6 +82,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/"), name).alias("path"), F.concat("text", F.lit("\n"), planted_line(F.col("doc_id"))).alias("content"))
 
 
+def several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with a line of two tokens and one of a token at their start: several findings a file and a line."""
+    f = files(spark, sf_dir)
+    sha = F.sha2(F.col("path"), 256)
+    part = lambda n: F.substring(sha, n, 36)
+    return f.select("path", F.concat(F.lit("two = ghp_"), part(1), F.lit(" or ghp_"), part(9), F.lit("\n\nkey ghp_"), part(17), F.lit("\n"), "content").alias("content"))
+
+
 FILES_SQL = f"""files AS (SELECT 'src/' || coalesce(source, 'none') || '/' || CASE ((doc_id % 5) + 5) % 5 WHEN 0 THEN doc_id || '.py' WHEN 1 THEN doc_id || '.js' WHEN 2 THEN doc_id || '.go'
     WHEN 3 THEN '.env.' || doc_id ELSE doc_id || '.md' END AS path, text || chr(10) || {planted_line_sql('doc_id')} AS content FROM documents)"""
 

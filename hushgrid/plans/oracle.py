@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..catalogue import GROUPS, SEVERITIES, Registry
 from ..functions import text as tx
 from ..operators import fix as fx
-from .corpus import FILES_SQL, HISTORY_SQL
+from .corpus import FILES_SQL, HISTORY_SQL, samples
 
 SQL: dict[str, str] = {}
 
@@ -140,7 +140,7 @@ SQL["report_json"] = _scan(
 )
 _ADVICE = " ".join(f"WHEN {q(k)} THEN {q(r)}" for k, (_, r) in GROUPS.items())
 SQL["report_text"] = _scan(
-    f"""SELECT path, byte_start, upper(severity) || ' ' || pattern_id || ' at ' || path || ':' || line || ':' || "column" || CASE WHEN confidence = 'low' THEN ' (low confidence)' ELSE '' END || chr(10) || right('     ' || line, 5) || ' | ' || masked_line || chr(10)
+    f"""SELECT path, byte_start, upper(severity) || ' ' || pattern_id || ' at ' || path || ':' || line || ':' || "column" || CASE WHEN confidence = 'low' THEN ' (low confidence)' ELSE '' END || CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN ' [' || row_number() OVER (PARTITION BY path ORDER BY byte_start, pattern_id, byte_end) || ' of ' || count(*) OVER (PARTITION BY path) || ']' ELSE '' END || chr(10) || right('     ' || line, 5) || ' | ' || masked_line || chr(10)
     || repeat(' ', "column" + 7) || repeat('^', length(secret_masked)) || chr(10) || CASE split_part(pattern_id, '/', 1) {_ADVICE} END AS text FROM found"""
 )
 _BLOBS = HISTORY_SQL + ",\nfiles AS (SELECT DISTINCT path || chr(2) || sha256(content) AS path, content FROM blobs)"
@@ -161,22 +161,72 @@ SQL["history_adjacent"] = _scan(
 )
 
 
-def _fix(new: str, cut: str = "substr(content, 1, chars)", rest: str = "substr(content, chars + length(secret) + 1)") -> str:
-    """The planted corpus has one finding a file."""
-    return _scan(f"SELECT path, sha256({cut} || {new} || {rest}) AS sha, 1::INTEGER AS n_edits FROM found WHERE {new} IS NOT NULL")
-
-
 def comment(path: str, marker: str = tx.IGNORE_MARKER) -> str:
     ext = f"lower(regexp_extract({path}, '[^/]\\.([^./]+)$', 1))"
     whens = " ".join(f"WHEN {ext} IN ({', '.join(q(x) for x in names.split())}) THEN {q(f'{start} {marker}' + (f' {end}' if end else ''))}" for (start, end), names in tx.COMMENTS.items())
     return f"CASE {whens} END"
 
 
-SQL["fix_redact"] = _fix(q(fx.REDACTED))
-SQL["fix_placeholder"] = _fix("'${' || upper(replace(split_part(pattern_id, '/', -1), '-', '_')) || '}'")
-SQL["fix_delete"] = _fix("''", "substr(content, 1, chars - length(head))", "substr(content, chars + length(secret) + length(string_split(substr(content, chars + length(secret) + 1), chr(10))[1]) + 2)")
-_END = "chars + length(secret) + length(string_split(substr(content, chars + length(secret) + 1), chr(10))[1])"
-SQL["fix_ignore"] = _fix(f"(' ' || {comment('path')})", f"substr(content, 1, {_END})", f"substr(content, {_END} + 1)")
+#: Files with three more findings, two of them on one line; edits go into the text one by one, each moved by what the ones before it added.
+_SEVERAL = FILES_SQL.replace("files AS (", "plain AS (", 1) + """,
+files AS (SELECT path, 'two = ghp_' || substr(sha256(path), 1, 36) || ' or ghp_' || substr(sha256(path), 9, 36) || chr(10) || chr(10) || 'key ghp_' || substr(sha256(path), 17, 36) || chr(10) || content AS content FROM plain)"""
+_TAIL_END = "chars + length(secret) + length(string_split(substr(content, chars + length(secret) + 1), chr(10))[1])"
+
+
+def _fix(a: str, b: str, new: str) -> str:
+    edits = f"edits AS (SELECT DISTINCT path, content, a, b, new FROM (SELECT path, content, {a} AS a, {b} AS b, {new} AS new FROM found) WHERE new IS NOT NULL)"
+    pieces = "pieces AS (SELECT *, substr(content, coalesce(lag(b) OVER w, 0) + 1, a - coalesce(lag(b) OVER w, 0)) || new AS piece FROM edits WINDOW w AS (PARTITION BY path ORDER BY a))"
+    return _scan("SELECT path, sha256(string_agg(piece, '' ORDER BY a) || substr(first(content), max(b) + 1)) AS sha, count(*)::INTEGER AS n_edits FROM pieces GROUP BY path", edits, pieces, files=_SEVERAL)
+
+
+SQL["fix_redact"] = _fix("chars", "chars + length(secret)", q(fx.REDACTED))
+SQL["fix_placeholder"] = _fix("chars", "chars + length(secret)", "'${' || upper(replace(split_part(pattern_id, '/', -1), '-', '_')) || '}'")
+SQL["fix_delete"] = _fix("chars - length(head)", f"least(length(content), {_TAIL_END} + 1)", "''")
+SQL["fix_ignore"] = _fix(_TAIL_END, _TAIL_END, f"(' ' || {comment('path')})")
+_SAMPLES = ", ".join(f"({i}, {q(p)}, {q(sev)})" for i, (found, _) in enumerate(samples()) for p, sev in found)
+SQL["scan_every_pattern"] = f"""WITH s(i, pattern_id, severity) AS (VALUES {_SAMPLES})
+SELECT doc_id::VARCHAR AS path, pattern_id, severity, (2 + length(text) - length(replace(text, chr(10), '')))::INTEGER AS line FROM documents JOIN s ON ((doc_id % {len(samples())}) + {len(samples())}) % {len(samples())} = i WHERE text IS NOT NULL"""
+SQL["findings_by_file"] = _scan(
+    "SELECT path, count(*)::INTEGER AS n, CAST(to_json(list({'byte_start': byte_start, 'line': line, 'column': \"column\", 'pattern_id': pattern_id, 'severity': severity, 'confidence': confidence, 'id': id} ORDER BY byte_start, line, \"column\", pattern_id, severity, confidence, id)) AS VARCHAR) AS findings FROM found GROUP BY path"
+)
+_LEVEL = lambda s: f"CASE WHEN {s} IN ('critical', 'high') THEN 'error' WHEN {s} = 'medium' THEN 'warning' ELSE 'note' END"
+_RULE = f"CAST(to_json({{'id': pattern_id, 'name': name, 'shortDescription': {{'text': description}}, 'defaultConfiguration': {{'level': {_LEVEL('severity')}}}}}) AS VARCHAR)"
+_PATTERN_ROWS = "pr(ordinal, pattern_id, name, description, severity) AS (VALUES " + ", ".join(f"({i}, {q(p.id)}, {q(p.name)}, {q(p.description)}, {q(p.severity)})" for i, p in enumerate(R.patterns)) + ")"
+_SARIF_HEAD = """SELECT 0::INTEGER AS part, '' AS at, 0::BIGINT AS n, '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"hushgrid","rules":[' || string_agg(""" + _RULE + """, ',' ORDER BY ordinal) || ']}},"results":[' AS text FROM pr"""
+_AT = lambda p, l, c: f"[{{'physicalLocation': {{'artifactLocation': {{'uri': {p}}}, 'region': {{'startLine': {l}, 'startColumn': {c}}}}}}}]"
+_SARIF_LOC = _AT("path", "line", '"column"')
+SQL["report_sarif"] = _scan(
+    f"""{_SARIF_HEAD} UNION ALL SELECT 1, path, byte_start, CAST(to_json({{'ruleId': pattern_id, 'level': {_LEVEL('severity')}, 'message': {{'text': pattern_id || ': ' || secret_masked}}, 'locations': {_SARIF_LOC}, 'fingerprints': {{'secret/v1': fingerprint}}}}) AS VARCHAR) FROM found
+    UNION ALL SELECT 2, '', 0, ']}}]}}'""",
+    _PATTERN_ROWS,
+)
+_ISO = lambda d: f"strftime({d}, '%Y-%m-%dT%H:%M:%SZ')"
+_INTRO = """intro AS (SELECT pattern_id, secret_hash, count(*) AS occurrence_count, first(o ORDER BY o.date DESC, o.hash DESC, o.path DESC, o.line DESC, o."column" DESC, o.masked_line DESC) AS latest,
+    list(o ORDER BY o.date, o.hash, o.path, o.line, o."column", o.masked_line) AS every FROM (SELECT pattern_id, secret_hash, {'date': date, 'hash': hash, 'path': path, 'line': line, 'column': "column", 'masked_line': masked_line, 'secret_masked': secret_masked, 'id': id, 'severity': severity, 'confidence': confidence} AS o FROM occ) GROUP BY 1, 2),
+told AS (SELECT *, every[1] AS x FROM intro)"""
+_SEEN = lambda x: f"{{'commit': {{'hash': {x}.hash, 'date': {_ISO(x + '.date')}}}, 'location': {{'path': {x}.path, 'line': {x}.line, 'column': {x}.\"column\"}}, 'line_content': {x}.masked_line}}"
+SQL["history_report"] = _scan(
+    """SELECT 0::INTEGER AS part, '' AS at, 0::BIGINT AS n, '{"version":"1.0","scan_type":"history","summary":' || CAST(to_json({'secrets_found': count(*), 'total_occurrences': coalesce(sum(occurrence_count), 0)::BIGINT, 'by_severity': {"""
+    + ", ".join(f"'{x}': count(*) FILTER (latest.severity = '{x}')" for x in ("critical", "high", "medium", "low"))
+    + """}}) AS VARCHAR) || ',"findings":[' AS text FROM told UNION ALL SELECT 1, """
+    + _ISO("x.date")
+    + f""" || ' ' || pattern_id, 0, CAST(to_json({{'id': latest.id, 'pattern_id': pattern_id, 'severity': latest.severity, 'confidence': latest.confidence, 'secret_masked': latest.secret_masked, 'introduced_in': {_SEEN('x')}, 'occurrences': list_transform(every, lambda e: {_SEEN('e')}), 'occurrence_count': occurrence_count}}) AS VARCHAR) FROM told
+    UNION ALL SELECT 2, '', 0, ']}}'""",
+    "@OCC",
+)
+SQL["history_tree"] = _scan(
+    """SELECT pattern_id, latest.id AS id, upper(latest.severity) || ' ' || pattern_id || ' · ' || occurrence_count || CASE WHEN occurrence_count = 1 THEN ' occurrence' ELSE ' occurrences' END || chr(10) || '  ' || x.masked_line || chr(10) ||
+    list_aggregate(list_transform(once, lambda e, i: CASE WHEN i = len(once) THEN '  └─ ' ELSE '  ├─ ' END || substr(e.hash, 1, 7) || ' ' || e.path || ':' || e.line || ' · ' || strftime(e.date, '%Y-%m-%d') || CASE WHEN e.hash = x.hash THEN ' (introduced)' ELSE '' END), 'string_agg', chr(10)) AS text
+    FROM (SELECT *, list_filter(every, lambda e, i: i = 1 OR e.hash <> every[i - 1].hash) AS once FROM told)""",
+    "@OCC",
+)
+_HIST_LOC = _AT("x.path", "x.line", 'x."column"')
+SQL["history_report_sarif"] = _scan(
+    f"""{_SARIF_HEAD} WHERE pattern_id IN (SELECT pattern_id FROM told) UNION ALL SELECT 1, {_ISO('x.date')} || ' ' || pattern_id, 0, CAST(to_json({{'ruleId': pattern_id, 'level': {_LEVEL('latest.severity')}, 'message': {{'text': pattern_id || ' in the history'}}, 'locations': {_HIST_LOC}, 'fingerprints': {{'secret/v1': latest.id}},
+    'properties': {{'scan_type': 'history', 'commit': {{'hash': x.hash, 'date': {_ISO('x.date')}}}, 'occurrence_count': occurrence_count}}}}) AS VARCHAR) FROM told UNION ALL SELECT 2, '', 0, ']}}]}}'""",
+    "@OCC",
+    _PATTERN_ROWS,
+)
 SQL["finding_context"] = _scan(
     """SELECT f.path, l.number::INTEGER AS number, CASE WHEN EXISTS (SELECT 1 FROM found g WHERE g.path = f.path AND g.line = l.number) THEN (SELECT first(masked_line ORDER BY byte_start) FROM found g WHERE g.path = f.path AND g.line = l.number) ELSE l.text END AS text, l.number = f.line AS is_finding
     FROM found f JOIN (SELECT path, unnest(range(1, len(x) + 1)) AS number, unnest(x) AS text FROM (SELECT path, string_split(content, chr(10)) AS x FROM files)) l ON l.path = f.path AND l.number BETWEEN f.line - 1 AND f.line + 1"""
@@ -187,9 +237,11 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY uri ORDER BY ts) AS k FROM e)
 SELECT uri, first(content ORDER BY ts DESC, content DESC NULLS LAST) AS content, max(ts) AS ts, count(*) AS n_edits FROM s GROUP BY uri, k"""
 SQL["verification_cache"] = """WITH ask AS (SELECT DISTINCT user_id AS id, ts FROM events WHERE event_type = 'click' AND ts IS NOT NULL), known AS (SELECT user_id AS id, ts, max(props) AS status FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY 1, 2)
 SELECT a.id, a.ts, arg_max(k.status, k.ts) AS status FROM ask a LEFT JOIN known k ON k.id = a.id AND k.ts <= a.ts AND epoch_us(a.ts) - epoch_us(k.ts) <= 3600000000 GROUP BY 1, 2"""
+_ABLE = ", ".join(q(p.id) for p in R.patterns if p.verifiable)
 SQL["editor_diagnostics"] = _scan(
     f"""SELECT path AS uri, line - 1 AS start_line, "column" - 1 AS start_character, line - 1 AS end_line, ("column" - 1 + byte_end - byte_start)::INTEGER AS end_character, {sarif('severity')} AS severity,
-    name || ' found' AS message, CASE WHEN confidence = 'low' THEN 'unnecessary' END AS tag, pattern_id, fingerprint FROM found"""
+    name || ' found' AS message, CASE WHEN confidence = 'low' THEN 'unnecessary' END AS tag,
+    '{{"fingerprint":"' || fingerprint || '","finding_id":"' || id || '","verifiable":' || CASE WHEN pattern_id IN ({_ABLE}) THEN 'true' ELSE 'false' END || '}}' AS data, pattern_id, fingerprint FROM found"""
 )
 _VERIFIABLE = ", ".join(q(p.id) for p in R.patterns if p.verifiable)
 _CALLED = f"called AS (SELECT *, {comment('path')} IS NOT NULL AS known, pattern_id IN ({_VERIFIABLE}) AS able, count(*) OVER (PARTITION BY path, line) AS on_line FROM found)"
@@ -224,4 +276,6 @@ SELECT path, round({entropy('line')}, 6) AS line_entropy, {mask('line')} AS mask
 SQL["project_kinds"] = """WITH m(k, kind, globs) AS (VALUES (0, 'rust', ['target/']), (11, 'node', ['build/', 'dist/', 'node_modules/']), (22, 'go', ['vendor/']), (33, 'jvm', ['.gradle/', 'build/', 'target/'])),
 x AS (SELECT source AS root, kind, unnest(globs) AS g FROM documents JOIN m ON ((doc_id % 40) + 40) % 40 = k WHERE source IS NOT NULL)
 SELECT root, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT g, ',' ORDER BY g) AS excludes FROM x GROUP BY root"""
+for _name in ("history_report", "history_tree", "history_report_sarif"):
+    SQL[_name] = SQL[_name].replace(FILES_SQL, _BLOBS, 1).replace("@OCC", _OCC + ",\n" + _INTRO)
 assert SEVERITIES

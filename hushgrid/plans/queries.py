@@ -19,7 +19,7 @@ from ..operators.verify import verification_counts, verify
 from ..sources.globs import excluded
 from ..streaming import editor
 from . import commands
-from .corpus import commit_files, files, spread_table, table
+from .corpus import commit_files, files, sample_files, several_files, spread_table, table
 
 NATIVE = ScanOptions(assignments=False)
 EXCLUDES = ("*.min.js", "vendor/", "/build/**", "2*.html")
@@ -59,6 +59,12 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir)
 
 
+@query
+def scan_every_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token of every builtin pattern, in documents in turn."""
+    return scan(sample_files(spark, sf_dir), NATIVE).select("path", "pattern_id", "severity", "line")
+
+
 @query
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.confidence_counts(found(spark, sf_dir))
@@ -197,7 +203,7 @@ def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = commit_files(spark, sf_dir)
-    return hist.first_introductions(hist.occurrences(c, b, NATIVE)).drop("masked_line", "path")
+    return hist.first_introductions(hist.occurrences(c, b, NATIVE)).drop("masked_line", "path", "secret_masked", "introduced")
 
 
 @query
@@ -229,7 +235,14 @@ def history_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = commit_files(spark, sf_dir)
-    return report.history_json(commands.run_history(c, b, minimum="low"))
+    return report.history_json(hist.first_introductions(hist.occurrences(c, b, NATIVE), keep_all=True))
+
+
+@query
+def history_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of a history with the commits that they are in."""
+    c, b = commit_files(spark, sf_dir)
+    return report.history_text(hist.first_introductions(hist.occurrences(c, b, NATIVE), keep_all=True)).select("pattern_id", "id", "text")
 
 
 @query
@@ -240,7 +253,7 @@ def history_report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fixed(action: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fx.fixed(files(spark, sf_dir), action, NATIVE).select("path", F.sha2("content", 256).alias("sha"), "n_edits")
+        return fx.fixed(several_files(spark, sf_dir), action, NATIVE).select("path", F.sha2("content", 256).alias("sha"), "n_edits")
 
     return run
 
@@ -277,7 +290,7 @@ def verification_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def editor_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editor.diagnostics(found(spark, sf_dir), names=Registry().table(spark)).drop("data", "finding_id")
+    return editor.diagnostics(found(spark, sf_dir), names=Registry().table(spark)).drop("finding_id")
 
 
 @query
