@@ -141,7 +141,8 @@ def pluralise(n: Column, one: str, many: str | None = None) -> Column:
 
 
 def file_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    """In whole units, rounded down."""
+    return F.when(n < 1024, F.format_string("%dB", n)).when(n < 1 << 20, F.format_string("%dKB", F.shiftright(n, 10))).otherwise(F.format_string("%dMB", F.shiftright(n, 20)))
 
 
 def duration(seconds: Column) -> Column:

@@ -92,9 +92,10 @@ def upsert(baseline: DataFrame, new: DataFrame) -> DataFrame:
     return baseline.join(new.select("fingerprint"), "fingerprint", "left_anti").select(*baseline.columns).unionByName(new)
 
 
-def unknown(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """What is left to review: high confidence, not in the baseline."""
-    return suppress(findings, ignore_set(baseline)).where("confidence = 'high'")
+def unknown(findings: DataFrame, baseline: DataFrame, minimum: str = "high") -> DataFrame:
+    """What is left to review: of at least a confidence, not in the baseline."""
+    new = suppress(findings, ignore_set(baseline))
+    return new if minimum == "low" else new.where("confidence = 'high'")
 
 
 def stats(baseline: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +19,66 @@ VERIFIED = "id string, status string, provider string, metadata array<struct<lab
 PROVIDERS = {"ai/anthropic": "Anthropic", "ai/openai": "OpenAI", "vcs/github": "GitHub", "payments/stripe": "Stripe"}
 
 
+#: A transport takes a URL and headers and gives (HTTP status, response headers in lower case, body); it raises OSError if nobody answers.
+Transport = Callable[[str, dict[str, str]], tuple[int, dict[str, str], str]]
+AGENT = "hushgrid"
+TIMEOUT_S = 10
+
+
+def http(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], str]:
+    """The transport that asks for real."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT_S) as r:
+            return r.status, {k.lower(): v for k, v in r.headers.items()}, r.read().decode(errors="replace")
+    except urllib.error.HTTPError as e:
+        return e.code, {k.lower(): v for k, v in e.headers.items()}, ""
+
+
+def _limited(code: int, headers: dict[str, str]) -> list[tuple[str, str]]:
+    if code == 429:
+        after = headers.get("retry-after")
+        return [("Note", f"rate limited, retry after {after} s" if after else "rate limited, try again later")]
+    return [] if code in (200, 401, 403) else [("Note", f"unexpected status {code}")]
+
+
+def key_kind(secret: str) -> str:
+    """What an OpenAI key's prefix names."""
+    kinds = (("sk-proj-", "Project key"), ("sk-admin-", "Admin key"), ("sk-svcacct-", "Service account key"))
+    return next((kind for prefix, kind in kinds if secret.startswith(prefix)), "User key")
+
+
+def verifiers(transport: Transport = http) -> dict[str, Verifier]:
+    """One verifier for each of the four services, over a transport."""
+
+    def github(secret: str) -> tuple[int, list[tuple[str, str]]]:
+        code, headers, body = transport("https://api.github.com/user", {"Authorization": f"token {secret}", "User-Agent": AGENT, "Accept": "application/vnd.github+json"})
+        about = _limited(code, headers)
+        if code == 200:
+            try:
+                login = json.loads(body).get("login")
+            except ValueError:
+                login = None
+            about = ([("User", login)] if login else []) + ([("Scopes", headers["x-oauth-scopes"])] if headers.get("x-oauth-scopes") else [])
+        return code, about + ([("Note", "authenticated, insufficient permissions")] if code == 403 else [])
+
+    def stripe(secret: str) -> tuple[int, list[tuple[str, str]]]:
+        code, headers, _ = transport("https://api.stripe.com/v1/charges?limit=1", {"Authorization": f"Bearer {secret}", "User-Agent": AGENT})
+        mode = ("Mode", "test mode" if "_test_" in secret else "live mode")
+        own = {200: [mode, ("Access", "restricted key" if secret.startswith("rk_") else "full access")], 403: [mode, ("Note", "restricted key, insufficient permissions")]}
+        return code, own.get(code) or _limited(code, headers)
+
+    def openai(secret: str) -> tuple[int, list[tuple[str, str]]]:
+        code, headers, _ = transport("https://api.openai.com/v1/models", {"Authorization": f"Bearer {secret}", "User-Agent": AGENT})
+        kind = ("Key Type", key_kind(secret))
+        return code, {200: [kind], 403: [kind, ("Note", "authenticated, insufficient permissions")]}.get(code) or _limited(code, headers)
+
+    def anthropic(secret: str) -> tuple[int, list[tuple[str, str]]]:
+        code, headers, _ = transport("https://api.anthropic.com/v1/models", {"x-api-key": secret, "anthropic-version": "2023-06-01", "User-Agent": AGENT})
+        return code, [("Note", "authenticated, insufficient permissions")] if code == 403 else _limited(code, headers)
+
+    return {"GitHub": github, "Stripe": stripe, "OpenAI": openai, "Anthropic": anthropic}
+
+
 def status_of(code: int | None) -> str:
     """live, inactive or inconclusive, from an HTTP status; 403 is a key that lives with fewer rights."""
     return "live" if code in (200, 403) else "inactive" if code == 401 else "inconclusive"
@@ -40,7 +103,7 @@ def verify(raw: DataFrame, verifiers: dict[str, Verifier], verified_at: str, reg
                     code, about = verifiers[provider](s)
                 except OSError:
                     code, about = None, []
-                about = list(about) + ([("note", "restricted")] if code == 403 else [("note", "rate limited")] if code == 429 else [])
+                about = list(about) or ([("Note", "restricted")] if code == 403 else [("Note", "rate limited")] if code == 429 else [])
                 out.append({"id": i, "status": status_of(code), "provider": provider, "metadata": [{"label": a, "value": b} for a, b in about], "verified_at": verified_at})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 

@@ -62,9 +62,9 @@ def run_history(commits: DataFrame, blobs: DataFrame, config: Config | None = No
     return at_least(hist.first_introductions(found, keep_all), minimum or c.minimum_confidence).orderBy("introduced_at", "pattern_id", "id")
 
 
-def accept(files: DataFrame, config: Config, baseline: DataFrame, status: str, reason: str | None, now: int) -> DataFrame:
-    """The baseline with all unknown findings of high confidence added."""
-    new = sup.unknown(scan(files, options(config)), baseline)
+def accept(files: DataFrame, config: Config, baseline: DataFrame, status: str, reason: str | None, now: int, severity: str | None = None, minimum: str | None = None) -> DataFrame:
+    """The baseline with all unknown findings of at least a confidence (high, if nothing else is said) added."""
+    new = sup.unknown(scan(files, options(config, severity)), baseline, minimum or "high")
     return sup.upsert(baseline, sup.reviewed(new, status, reason, now))
 
 

@@ -271,7 +271,7 @@ SELECT path, round({entropy('line')}, 6) AS line_entropy, {mask('line')} AS mask
     regexp_matches(path, '(^|/)\\.env(\\.[^/]*)?$') AS dotenv, {comment('path')} AS comment, upper(replace(split_part(path, '/', -1) || '-key', '-', '_')) AS env_name,
     replace(regexp_extract(line, '"[^"]*"'), '"', '') AS unquoted, CASE WHEN length(line) > 12 THEN substr(line, 1, 11) || '…' ELSE line END AS short,
     CASE WHEN length(line) % 3 = 1 THEN '1 line' ELSE (length(line) % 3) || ' lines' END AS plural,
-    CASE WHEN strlen(content) * 100 < 1024 THEN format('{{}} B', strlen(content) * 100) WHEN strlen(content) * 100 < 1048576 THEN format('{{:.1f}} KB', round(strlen(content) * 100 / 1024.0, 1)) ELSE format('{{:.1f}} MB', round(strlen(content) * 100 / 1048576.0, 1)) END AS file_size,
+    CASE WHEN strlen(content) * 100 < 1024 THEN (strlen(content) * 100) || 'B' WHEN strlen(content) * 100 < 1048576 THEN (strlen(content) * 100 // 1024) || 'KB' ELSE (strlen(content) * 100 // 1048576) || 'MB' END AS file_size,
     CASE WHEN strlen(content) / 64.0 < 1 THEN floor(strlen(content) / 64.0 * 1000)::BIGINT || 'ms' WHEN strlen(content) / 64.0 < 60 THEN format('{{:.1f}}s', round(strlen(content) / 64.0, 1)) ELSE floor(strlen(content) / 64.0 / 60)::BIGINT || 'm ' || floor(strlen(content) / 64.0 % 60)::BIGINT || 's' END AS duration FROM d"""
 SQL["project_kinds"] = """WITH m(k, kind, globs) AS (VALUES (0, 'rust', ['target/']), (11, 'node', ['build/', 'dist/', 'node_modules/']), (22, 'go', ['vendor/']), (33, 'jvm', ['.gradle/', 'build/', 'target/'])),
 x AS (SELECT source AS root, kind, unnest(globs) AS g FROM documents JOIN m ON ((doc_id % 40) + 40) % 40 = k WHERE source IS NOT NULL)

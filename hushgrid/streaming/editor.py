@@ -6,7 +6,7 @@ content is scanned. Kinds: ``open`` and ``change`` are scanned, ``save`` isn't,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators.scan import ScanOptions, at_least, scan
 from ..sources.globs import excluded
+from ..sources.globs import ignored as ignored_by
 
 GAP = "300 milliseconds"
 LATENESS = "10 seconds"
 VERIFICATION_TTL_S = 300
 IN_FLIGHT_S = 60
+#: Verifications that are remembered.
+CACHED = 512
 
 
 def debounced(edits: DataFrame, gap: str = GAP, lateness: str = LATENESS, key: str = "uri", content: str = "content", ts: str = "ts") -> DataFrame:
@@ -37,6 +40,44 @@ def to_scan(edits: DataFrame) -> DataFrame:
     return edits.where(F.col("kind").isin("open", "change"))
 
 
+def open_buffers(edits: DataFrame) -> DataFrame:
+    """(uri, content, ts) of the buffers that aren't closed, as they are last; a save has no content of its own."""
+    last = edits.where("kind <> 'save'").groupBy("uri").agg(F.max_by(F.struct("kind", "content", "ts"), F.struct("ts", "content")).alias("x"))
+    return last.where("x.kind <> 'close'").select("uri", "x.content", "x.ts")
+
+
+def rescans(edits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Edits that a change of the configuration (ts) makes: every buffer that is open then is scanned again as it is. Changes are few: they are
+    broadcast."""
+    at = changes.select(F.col("ts").alias("changed"))
+    then = edits.where("kind <> 'save'").join(F.broadcast(at), F.col("ts") <= F.col("changed"))
+    last = then.groupBy("uri", "changed").agg(F.max_by(F.struct("kind", "content"), F.struct("ts", "content")).alias("x"))
+    return last.where("x.kind <> 'close'").select("uri", "x.content", F.col("changed").alias("ts"), F.lit("change").alias("kind"))
+
+
+def states(edits: DataFrame, root: str = "", excludes: tuple[str, ...] = (), ignore_files: Iterable[tuple[str, Iterable[str]]] = ()) -> DataFrame:
+    """(uri, content, ts) for ``debounced`` and ``publish``: the contents to scan; null, which clears, where a buffer is closed and for files outside the
+    workspace, excluded, or ignored by the workspace's ignore files (folder, lines). Saves have no state."""
+    rows = edits.where("kind <> 'save'")
+    if root or excludes:
+        inner = F.substring(F.col("uri"), F.lit(len(root.rstrip("/")) + 2), F.lit(1 << 30))
+        rows = in_workspace(rows, root, excludes, ignored_by(inner, ignore_files))
+    else:
+        rows = rows.withColumn("watched", F.lit(True))
+    return rows.select("uri", F.when((F.col("kind") != "close") & F.col("watched"), F.col("content")).alias("content"), "ts")
+
+
+def minimum_of(editor_setting: str | None, configured: str | None) -> str:
+    """The least confidence shown: the editor's setting, else the configuration's, else high."""
+    return editor_setting or configured or "high"
+
+
+def newest(verified: DataFrame, most: int = CACHED) -> DataFrame:
+    """The cache's bound: the verifications (id, ts) of the ``most`` ids that were verified last."""
+    last = verified.groupBy("id").agg(F.max("ts").alias("_last")).orderBy(F.desc("_last"), "id").limit(most)
+    return verified.join(F.broadcast(last.select("id")), "id", "left_semi")
+
+
 def in_workspace(edits: DataFrame, root: str, excludes: tuple[str, ...] = (), ignored: Column | None = None) -> DataFrame:
     """With ``watched``: false outside the workspace and for excluded or ignored files, whose diagnostics are cleared."""
     inside = F.col("uri").startswith(root.rstrip("/") + "/")

@@ -12,7 +12,7 @@ from hushgrid.catalogue import Pattern, Registry
 from hushgrid.operators import fix, history, report
 from hushgrid.operators import suppress as sup
 from hushgrid.operators.scan import ScanOptions, raw_findings, scan
-from hushgrid.operators.verify import verification_counts, verify
+from hushgrid.operators.verify import status_of, verification_counts, verifiers, verify
 from hushgrid.sources import config
 from hushgrid.plans import commands
 from hushgrid.streaming import editor
@@ -93,8 +93,14 @@ def test_history(spark):
     one = history.first_introductions(found, keep_all=True).first()
     assert (one.introduced_in, one.occurrence_count, len(one.occurrences)) == ("c2", 3, 3)
     assert history.adjacent_once(found).count() == 2
-    assert "SECRET_ABCDEFGH" not in report.history_json(history.first_introductions(found)).first()[0]
-    assert json.loads(report.history_sarif(history.first_introductions(found), OWN.registry).first()[0])["runs"][0]["results"][0]["properties"]["occurrences"] == 3
+    told = report.document(report.history_json(history.first_introductions(found, True), {"commits_scanned": 3}))
+    log = json.loads(told)
+    assert "SECRET_ABCDEFGH" not in told and log["metadata"] == {"commits_scanned": 3} and log["summary"]["total_occurrences"] == 3
+    assert len(log["findings"][0]["occurrences"]) == 3 and log["findings"][0]["introduced_in"]["commit"]["hash"] == "c2"
+    result = json.loads(report.document(report.history_sarif(history.first_introductions(found), OWN.registry)))["runs"][0]["results"][0]
+    assert result["properties"]["occurrence_count"] == 3 and result["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1
+    tree = report.history_text(history.first_introductions(found, True)).first().text
+    assert "3 occurrences" in tree and "(introduced)" in tree
     assert [r.hash for r in history.walk(commits, 1, until="2024-01-02").collect()] == ["c2"]
     assert history.first_parent(commits, "c3") == ["c3", "c2", "c1"]
     trees = spark.createDataFrame([("c1", "a", "1"), ("c2", "a", "1"), ("c2", "b", "2"), ("c3", "a", "3")], "hash string, path string, blob string")
@@ -103,7 +109,7 @@ def test_history(spark):
 
 def test_reports(spark):
     found = scan(rows(spark, ("a", f"k {GH}"), ("b", "k ghp_" + "a" * 36)))
-    log = json.loads(report.scan_sarif(found).first()[0])
+    log = json.loads(report.document(report.scan_sarif(found)))
     assert len(log["runs"][0]["results"]) == 2 and len(log["runs"][0]["tool"]["driver"]["rules"]) == len(Registry().patterns)
     assert log["runs"][0]["results"][0]["level"] == "error"
     text = report.text_lines(found).orderBy("path").first().text
@@ -112,11 +118,31 @@ def test_reports(spark):
     assert any("live" in r.json for r in report.scan_json(found, v).collect())
 
 
+def test_four_verifiers_over_a_transport():
+    asked = []
+
+    def transport(code, headers=None, body="{}"):
+        return lambda url, h: (asked.append((url, h)) or (code, headers or {}, body))
+
+    live = verifiers(transport(200, {"x-oauth-scopes": "repo"}, '{"login": "me"}'))
+    assert live["GitHub"]("s") == (200, [("User", "me"), ("Scopes", "repo")]) and asked[-1][1]["Authorization"] == "token s"
+    assert live["Stripe"]("rk_test_x") == (200, [("Mode", "test mode"), ("Access", "restricted key")])
+    assert live["OpenAI"]("sk-proj-x") == (200, [("Key Type", "Project key")]) and live["Anthropic"]("s") == (200, [])
+    assert asked[-1][1]["x-api-key"] == "s"
+    for name, v in verifiers(transport(429, {"retry-after": "7"})).items():
+        assert v("sk_live_x") == (429, [("Note", "rate limited, retry after 7 s")]), name
+    for name, v in verifiers(transport(403)).items():
+        assert v("sk_live_x")[1][-1][1].endswith("insufficient permissions"), name
+    assert all(v("x") == (401, []) for v in verifiers(transport(401)).values())
+    assert verifiers(transport(500))["GitHub"]("x") == (500, [("Note", "unexpected status 500")])
+    assert [status_of(c) for c in (200, 403, 401, 429, 500, None)] == ["live", "live", "inactive", "inconclusive", "inconclusive", "inconclusive"]
+
+
 def test_verification_asks_once_a_secret(spark):
     files = rows(spark, ("a", f"k {GH}"), ("b", f"k {GH}"), ("c", "k ghp_" + "b" * 36))
     raw = raw_findings(files)
     got = verify(raw, {"GitHub": lambda s: (200, [("owner", "x")]) if s == GH else (429, [])}, "2024-01-01T00:00:00Z")
-    assert sorted((r.status, r.metadata[0].label) for r in got.collect()) == [("inconclusive", "note"), ("live", "owner")]
+    assert sorted((r.status, r.metadata[0].label) for r in got.collect()) == [("inconclusive", "Note"), ("live", "owner")]
     assert verification_counts(raw, got).first().asDict() == {"live": 2, "inactive": 0, "skipped": 1}
 
     def away(secret):
@@ -148,6 +174,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [(r.uri, r.start_line) for r in got["all"]] == [("u", 0)]
 
 
+def test_closing_and_leaving_clears(spark, tmp_path):
+    """A stream of open, change and close: diagnostics come and go; an excluded file is cleared; a changed configuration scans again."""
+    t = datetime(2024, 1, 1)
+    at = lambda s: t + timedelta(seconds=s)
+    rows = [("/w/a", "SECRET_ABCDEFGA", at(0), "open"), ("/w/a", "SECRET_ABCDEFGB", at(1), "change"), ("/w/out/b", "SECRET_ABCDEFGC", at(0), "open"), ("/x/c", "SECRET_ABCDEFGC", at(0), "open"), ("/w/i", "SECRET_ABCDEFGC", at(0), "open"), ("/w/a", None, at(9), "save"), ("/w/d", "SECRET_ABCDEFGD", at(0), "open")]
+    later = [("/w/a", None, at(60), "close")]
+    end = [("/w/z", "x", at(600), "change")]
+    for k, part in enumerate((rows, later, end)):
+        spark.createDataFrame(part, EDIT).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    shown = {}
+
+    def sink(uris, found, number):
+        for r in uris.collect():
+            shown[r.uri] = []
+        for r in found.collect():
+            shown[r.uri].append(r.start_line)
+
+    stream = spark.readStream.schema(EDIT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "p*"))
+    q = editor.publish(editor.debounced(editor.states(stream, "/w", ("out/**",), [("", ["i"])])), sink, OWN, checkpoint=str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    assert shown["/w/a"] == [] and shown["/w/d"] == [0] and shown["/w/out/b"] == shown["/x/c"] == shown["/w/i"] == []
+    edits = spark.createDataFrame(rows + later, EDIT)
+    assert sorted(r.uri for r in editor.open_buffers(edits).collect()) == ["/w/d", "/w/i", "/w/out/b", "/x/c"]
+    again = editor.rescans(edits, spark.createDataFrame([(at(5),), (at(70),)], "ts timestamp")).where("uri = '/w/a'").collect()
+    assert [(r.content, r.ts) for r in again] == [("SECRET_ABCDEFGB", at(5))]
+    assert editor.minimum_of(None, "low") == "low" and editor.minimum_of("high", "low") == "high" and editor.minimum_of(None, None) == "high"
+    known = spark.createDataFrame([(str(k % 5), "live", at(k)) for k in range(9)], "id string, status string, ts timestamp")
+    assert sorted(r.id for r in editor.newest(known, 2).select("id").distinct().collect()) == ["2", "3"]
+
+
 def test_verification_cache(spark, tmp_path):
     t = datetime(2024, 1, 1)
     events = [("a", None, t), ("a", None, t + timedelta(seconds=5)), ("a", "live", t + timedelta(seconds=10)), ("a", None, t + timedelta(seconds=20)), ("a", None, t + timedelta(seconds=400))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 
 import pytest
@@ -106,14 +107,27 @@ def test_commits_and_blobs(spark, repo):
     assert [r.path for r in git.staged(spark, str(repo)).collect()] == ["new.py"]
 
 
-def test_commands(spark, repo, capsys):
+def test_commands(spark, repo, capsys, monkeypatch):
     assert main(["history", "--format", "text"]) == 1
     assert "2 times" in capsys.readouterr().out
+    assert main(["history", "--all"]) == 1
+    out = capsys.readouterr().out
+    assert "2 occurrences" in out and "(introduced)" in out and TOKEN not in out
+    assert main(["history", "--all", "--format", "json"]) == 1
+    log = json.loads(capsys.readouterr().out)
+    assert log["metadata"]["commits_scanned"] >= 2 and len(log["findings"][0]["occurrences"]) == 2 and log["findings"][0]["introduced_in"]["commit"]["author_email"]
+    assert main(["history", "--format", "sarif"]) == 1
+    assert json.loads(capsys.readouterr().out)["runs"][0]["results"][0]["locations"]
     (repo / "a.py").write_text(f"k = {TOKEN}\n")
     assert main(["scan", "--format", "json"]) == 1
     out = capsys.readouterr().out
     assert '"pattern_id":"vcs/github-pat"' in out and TOKEN not in out
+    assert json.loads(out)
     assert main(["scan", "--exit-zero"]) == 0
+    assert "    1 | k = " in capsys.readouterr().out
+    monkeypatch.setattr("hushgrid.__main__.verifiers", lambda: {"GitHub": lambda s: (200, [("User", "me")])})
+    assert main(["scan", "--verify"]) == 1
+    assert "live · GitHub · User: me" in capsys.readouterr().out
     assert main(["scan", "--format", "sarif", "--output", str(repo / "r.sarif"), "--allow-new"]) == 0
     assert "2.1.0" in (repo / "r.sarif").read_text()
     assert main(["baseline", "--reason", "known"]) == 0
@@ -121,10 +135,15 @@ def test_commands(spark, repo, capsys):
     assert main(["scan", "--baseline", "missing.json"]) == 2
     assert main(["baseline", "--stats"]) == 0
     assert "accepted" in capsys.readouterr().out
+    assert main(["baseline", "--stats", "--json"]) == 0
+    assert {r["kind"] for r in json.loads(capsys.readouterr().out)} == {"status", "severity", "total"}
+    assert main(["baseline", "--accept-all", "--minimum-confidence", "low"]) == 0
     assert main(["fix", "--dry-run"]) == 0 and TOKEN in (repo / "a.py").read_text()
     assert main(["fix"]) == 0 and "<REDACTED>" in (repo / "a.py").read_text()
     assert main(["patterns", "--group", "VCS", "--severity", "critical"]) == 0
     assert "github" in capsys.readouterr().out
+    assert main(["patterns", "--group", "VCS", "--verbose"]) == 0
+    assert "    keywords: " in capsys.readouterr().out
 
 
 def test_project_set_up(spark, repo, capsys):
