@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.text import IGNORE_MARKER
 
 
-def row_groups(path: str) -> int | None:
-    """Row groups of a table on a local path, from the footers alone; null elsewhere."""
+#: Bytes of a table, as it is stored, for a task that searches texts; a task may have twice as much.
+TASK_BYTES = 8 << 20
+
+
+def row_groups(path: str) -> list[int] | None:
+    """Stored bytes of a table's row groups on a local path, from the footers alone; null elsewhere."""
     local = path.removeprefix("file://")
     found = [local] if os.path.isfile(local) else sorted(glob.glob(f"{local}/*.parquet"))
-    return sum(pq.ParquetFile(f).metadata.num_row_groups for f in found) if found else None
+    if not found:
+        return None
+    footers = [pq.ParquetFile(f).metadata for f in found]
+    return [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for m in footers for g in map(m.row_group, range(m.num_row_groups))]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; if it lies in fewer row groups than there are cores, which no reader can split, its rows are dealt out first."""
-    cores, groups = spark.sparkContext.defaultParallelism, row_groups(f"{sf_dir}/{name}.parquet")
-    rows = table(spark, sf_dir, name)
-    return rows.repartition(4 * cores) if groups is not None and groups < cores else rows
+    """The table; its rows are dealt out first, to tasks of about ``TASK_BYTES``, if it lies in fewer row groups than there are cores, which no
+    reader can split, or if a row group or a split of the reader is more than a task may have. So a task's share doesn't grow with the table."""
+    rows, groups, cores = table(spark, sf_dir, name), row_groups(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    conf = spark._jsparkSession.sessionState().conf()
+    total = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), total // cores))
+    few, large = groups is not None and len(groups) < cores, max(split, *(groups or [0])) > 2 * TASK_BYTES
+    return rows.repartition(max(4 * cores, -(-total // TASK_BYTES))) if few or large else rows
 
 
 def planted_line(key: Column) -> Column:
