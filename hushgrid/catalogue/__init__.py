@@ -115,8 +115,15 @@ def check_regex(spark: SparkSession, regex: str) -> None:
         raise PatternError(f"matches the empty text: {regex}")
 
 
-def trie_regex(words: list[str]) -> str:
-    """A regex whose leftmost match is the longest of the words there: alternatives share no first character, endings are greedy."""
+def trie_regex(words: list[str], any_case: bool = False) -> str:
+    """A regex whose leftmost match is the longest of the words there: alternatives share no first character, endings are greedy. ``any_case``:
+    for RE2, with ASCII letters of either case."""
+
+    def one(c: str) -> str:
+        if any_case and (not c.isascii() or "a" <= c <= "z"):
+            return f"[{ascii_upper(c)}{c}]" if c.isascii() else c
+        return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", c)
+
     root: dict = {}
     for w in words:
         node = root
@@ -125,7 +132,7 @@ def trie_regex(words: list[str]) -> str:
         node[""] = {}
 
     def build(node: dict) -> str:
-        parts = [(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", c) + build(sub)) for c, sub in sorted(node.items()) if c]
+        parts = [(one(c) + build(sub)) for c, sub in sorted(node.items()) if c]
         if not parts:
             return ""
         body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
@@ -157,6 +164,10 @@ class Registry:
     def prefilter(self) -> str:
         return trie_regex(sorted(self.keywords()))
 
+    def search(self) -> str:
+        """The same search for RE2, over texts as they are; empty without a keyword."""
+        return trie_regex(sorted(w for w in self.keywords() if w), any_case=True)
+
     def runnable(self, least: str = "low") -> list[int]:
         return [i for i, p in enumerate(self.patterns) if p.enabled and p.rank >= SEVERITIES.index(least)]
 
@@ -172,5 +183,19 @@ def ascii_lower(s: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
+def ascii_upper(s: str) -> str:
+    return "".join(chr(ord(c) - 32) if "a" <= c <= "z" else c for c in s)
+
+
+def literal_first(regex: str) -> str:
+    r"""A regex with the same matches that begins with its literal, for which the JVM looks by Boyer-Moore: ``\b(key_X)\b`` becomes
+    ``key_(?<=\bkey_)X\b``. Others, and those with groups or alternatives within, stay as they are; groups aren't kept."""
+    m = re.fullmatch(r"\\b\(([A-Za-z0-9_-]+)([^()|]*)\)\\b", regex, re.S)
+    if not m or re.search(r"\\[^.$-]", m[2]):
+        return regex
+    word, rest = (m[1][:-1], m[1][-1] + m[2]) if m[2][:1] in tuple("?*+{") else (m[1], m[2])
+    return rf"{word}(?<=\b{word}){rest}\b" if word else regex
+
+
 def groups_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, n, r) for k, (n, r) in GROUPS.items()], "`group` string, name string, remediation string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +33,17 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, _UPPER, _LOWER)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits of the UTF-8 bytes; 0 for the empty text."""
     digits = F.regexp_extract_all(F.hex(F.encode(s, "UTF-8")), F.lit(".."), F.lit(0))
-    n = F.octet_length(s).cast("double")
-    share = lambda x: F.size(F.filter(digits, lambda y: y == x)) / n
-    return F.aggregate(F.array_distinct(digits), F.lit(0.0), lambda acc, x: acc - share(x) * F.log2(share(x)))
+    share = lambda every, x: F.size(F.filter(every, lambda y: y == x)) / F.size(every).cast("double")
+    term = lambda every, x: bound(share(every, x), lambda p: p * F.log2(p))
+    return bound(digits, lambda every: F.aggregate(F.array_distinct(every), F.lit(0.0), lambda acc, x: acc - term(every, x)))
 
 
 def confidence(value: Column, least: Column) -> Column:

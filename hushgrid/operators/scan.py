@@ -8,14 +8,17 @@ have a trigger word, go through Arrow.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalogue import GENERIC, Registry
+from ..catalogue import GENERIC, Registry, literal_first
 from ..functions import text as tx
+from ..functions.text import bound
 from .assignments import assigned
 
 FINDING = ("id", "path", "line", "column", "byte_start", "byte_end", "pattern_id", "severity", "confidence", "masked_line", "secret_masked", "secret_hash", "fingerprint")
@@ -33,9 +36,41 @@ class ScanOptions:
 
 
 def prefilter(files: DataFrame, registry: Registry) -> DataFrame:
-    """The rows with the distinct keywords (lower case) that the leftmost-longest, non-overlapping search finds."""
-    hits = F.array_distinct(F.regexp_extract_all(tx.ascii_lower(F.col("content")), F.lit(registry.prefilter()), F.lit(0)))
-    return files.withColumn("hits", hits)
+    """The rows with the distinct keywords (lower case) that the leftmost-longest, non-overlapping search finds; null for a null text.
+
+    RE2 runs the trie as one automaton, in time linear in the text, whatever the number of keywords; the JVM's engine would try alternative
+    after alternative at every character. RE2 gives the texts between the hits; at each of their ends, the trie says which keyword stands there."""
+    search, always = registry.search(), [w for w in registry.keywords() if not w]
+
+    @F.arrow_udf("array<string>")
+    def hits(contents: pa.Array) -> pa.Array:
+        at_hit = re.compile(search.encode())
+
+        def words(text: bytes, gaps: list[int]) -> dict[str, None]:
+            got, at = {}, 0
+            for gap in gaps[:-1]:
+                at += gap
+                end = at_hit.match(text, at).end()
+                got[text[at:end].decode().translate(lower)] = None
+                at = end
+            return got
+
+        lower = {c: c + 32 for c in range(65, 91)}
+        raw = contents.cast(pa.binary()) if pa.types.is_string(contents.type) else contents.cast(pa.large_binary())
+        if not search:
+            return pa.array([None if not t.is_valid else always for t in raw], pa.list_(pa.string()))
+        try:
+            some = pc.fill_null(pc.match_substring_regex(contents, search), False)
+            which = pc.indices_nonzero(some)
+            gaps = pc.split_pattern_regex(contents.take(which), search)
+            sizes = pc.binary_length(gaps.flatten()).to_pylist()
+            ends = pc.cumulative_sum(pc.list_value_length(gaps)).to_pylist()
+            got = {i: list(words(raw[i].as_py(), sizes[a:b])) for i, a, b in zip(which.to_pylist(), [0, *ends], ends)}
+        except pa.ArrowInvalid:  # more keywords than RE2 takes
+            got = {i: list(dict.fromkeys(m.decode().translate(lower) for m in at_hit.findall(t.as_py()))) for i, t in enumerate(raw) if t.is_valid}
+        return pa.array([None if not t.is_valid else got.get(i, []) + always for i, t in enumerate(raw)], pa.list_(pa.string()))
+
+    return files.withColumn("hits", hits(F.col("content")))
 
 
 def _quoted(s: str) -> str:
@@ -52,24 +87,27 @@ def _candidates(hits: Column, registry: Registry, wanted: list[int]) -> Column:
     return F.array_distinct(F.concat(found, F.array(*map(F.lit, always)).cast("array<int>"))) if always else F.array_distinct(found)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _matches(registry: Registry, candidates: Column) -> Column:
     """Every leftmost non-overlapping match of the candidates: array of (ordinal, secret, value, chars), with the characters before it.
 
     The regexes come from a constant array, so the plan doesn't grow with the files; the engine compiles one once a candidate, which is
     little beside matching it over a text."""
-    rx = F.expr(f"array({', '.join(_quoted(p.regex) for p in registry.patterns)})")
+    rx = F.expr(f"array({', '.join(_quoted(literal_first(p.regex)) for p in registry.patterns)})")
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
     content = F.col("content")
 
-    def places(x: Column) -> Column:
+    def placed(x: Column, t: Column, chars: Column) -> Column:
+        return F.struct(x["ordinal"].alias("ordinal"), t.alias("secret"), t.alias("value"), chars.cast("int").alias("chars"))
+
+    def by_gaps(x: Column) -> Column:
         sizes = F.struct(F.transform(F.split(content, rx[x["ordinal"]], -1), F.char_length).alias("gaps"), F.transform(x["m"], F.char_length).alias("own"))
         at = lambda g, i: total(F.slice(g["gaps"], F.lit(1), i + 1)) + total(F.slice(g["own"], F.lit(1), i))
-        return bound(sizes, lambda g: F.transform(x["m"], lambda t, i: F.struct(x["ordinal"].alias("ordinal"), t.alias("secret"), t.alias("value"), at(g, i).alias("chars"))))
+        return bound(sizes, lambda g: F.transform(x["m"], lambda t, i: placed(x, t, at(g, i))))
+
+    def places(x: Column) -> Column:
+        """A few matches whose texts stand only once in the content are looked up; for others the regex parts the content once more."""
+        once = lambda t: F.call_function("locate", t, content, F.instr(content, t) + 1) == 0
+        return F.when((F.size(x["m"]) <= 4) & F.forall(x["m"], once), F.transform(x["m"], lambda t: placed(x, t, F.instr(content, t) - 1))).otherwise(by_gaps(x))
 
     hit = F.filter(F.transform(candidates, lambda o: F.struct(o.alias("ordinal"), F.regexp_extract_all(content, rx[o], F.lit(0)).alias("m"))), lambda x: F.size(x["m"]) > 0)
     return F.flatten(F.transform(hit, places))
@@ -160,6 +198,13 @@ def scan(files: DataFrame, options: ScanOptions | None = None) -> DataFrame:
     return raw_findings(files, options).select(*FINDING)
 
 
+def shared(rows: DataFrame, *by: str) -> DataFrame:
+    """The same rows, dealt out by columns: uses of them in one plan read one exchange, so what they come from is computed once. Neither filters
+    nor choices of columns get past the row's struct and into the exchange, which would make it another one for each use."""
+    whole = rows.select(F.struct(*rows.columns).alias("row")).repartition(*[F.col("row")[c] for c in by])
+    return whole.select(F.inline(F.array("row")))
+
+
 def at_least(findings: DataFrame, minimum: str = "high") -> DataFrame:
     """The findings of at least this confidence."""
     return findings if minimum == "low" else findings.where(F.col("confidence") == "high")
