@@ -14,7 +14,7 @@ from ..operators import fix as fx
 from ..operators import history as hist
 from ..operators import report
 from ..operators import suppress as sup
-from ..operators.scan import FINDING, ScanOptions, at_least, context_lines, prefilter, raw_findings, scan
+from ..operators.scan import FINDING, ScanOptions, at_least, context_lines, prefilter, raw_findings, scan, shared
 from ..operators.verify import verification_counts, verify
 from ..sources.globs import excluded
 from ..streaming import editor
@@ -116,7 +116,7 @@ def generic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def baseline_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found(spark, sf_dir)
+    f = shared(found(spark, sf_dir), "fingerprint")
     return sup.suppress(f, sup.ignore_set(half_baseline(f))).select("fingerprint", "path", "pattern_id", "confidence")
 
 
@@ -128,7 +128,7 @@ def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def baseline_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All critical findings, newly ignored, over the baseline."""
-    f = found(spark, sf_dir)
+    f = shared(found(spark, sf_dir), "fingerprint")
     return sup.upsert(half_baseline(f), sup.reviewed(f.where("severity = 'critical'"), "ignored", "again", 1_800_000_000)).groupBy("status", "reason", "severity").agg(F.count("*").alias("n"))
 
 
@@ -149,7 +149,7 @@ def baseline_review_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found(spark, sf_dir)
+    f = shared(found(spark, sf_dir), "fingerprint")
     return sup.scan_stats(f, sup.ignore_set(half_baseline(f)))
 
 
@@ -302,7 +302,7 @@ def editor_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def editor_hover(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Registry().table(spark)
-    d = editor.diagnostics(found(spark, sf_dir), names=r)
+    d = editor.diagnostics(shared(found(spark, sf_dir), "fingerprint"), names=r)
     return editor.hover(d.dropDuplicates(["finding_id"]), r, d.select("finding_id", (F.substring("finding_id", 1, 1) < "8").alias("in_head")).distinct())
 
 
@@ -312,7 +312,7 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hashlib import sha256
 
     stub = lambda s: (200 if sha256(s.encode()).hexdigest()[0] < "8" else 401, [])
-    raw = raw_findings(files(spark, sf_dir), NATIVE)
+    raw = shared(raw_findings(files(spark, sf_dir), NATIVE).select("id", "pattern_id", "secret", "fingerprint"), "fingerprint")
     return verification_counts(raw, verify(raw, {"GitHub": stub, "Stripe": stub}, "2024-01-01T00:00:00Z"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -123,10 +123,10 @@ def code_actions(found: DataFrame, marker: str = tx.IGNORE_MARKER) -> DataFrame:
     """What can be done about each diagnostic: (uri, start_line, finding_id, title, edit)."""
     line = F.concat(F.lit(" "), tx.comment_ignore(F.col("uri"), marker))
     verifiable = F.get_json_object("data", "$.verifiable") == "true"
-    per_line = found.groupBy("uri", "start_line").agg(F.count("*").alias("on_line"))
     act = lambda title, edit, when=F.lit(True): F.when(when, F.struct(F.lit(title).alias("title"), edit.cast("string").alias("edit")))
     each = F.array_compact(F.array(act("Ignore on this line", line, line.isNotNull()), act("Ignore in the configuration", F.col("fingerprint")), act("Verify", F.col("finding_id"), verifiable), act("Ignore all on this line", line, line.isNotNull() & (F.col("on_line") > 1))))
-    return found.join(per_line, ["uri", "start_line"]).select("uri", "start_line", "finding_id", F.explode(each).alias("a")).select("uri", "start_line", "finding_id", "a.title", "a.edit")
+    per_line = found.where("uri is not null and start_line is not null").withColumn("on_line", F.count("*").over(Window.partitionBy("uri", "start_line")))
+    return per_line.select("uri", "start_line", "finding_id", F.explode(each).alias("a")).select("uri", "start_line", "finding_id", "a.title", "a.edit")
 
 
 def at_position(found: DataFrame, positions: DataFrame) -> DataFrame:
