@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import IGNORE_MARKER
 
 
-#: Bytes of a table, as it is stored, for a task that searches texts; a task may have twice as much.
+#: Bytes of a table, as it is stored, for a task that searches texts; a task may have four times as much before its rows are dealt out.
 TASK_BYTES = 8 << 20
 
 
@@ -39,7 +39,7 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     conf = spark._jsparkSession.sessionState().conf()
     total = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), total // cores))
-    few, large = groups is not None and len(groups) < cores, max(split, *(groups or [0])) > 2 * TASK_BYTES
+    few, large = groups is not None and len(groups) < cores, max(split, *(groups or [0])) > 4 * TASK_BYTES
     return rows.repartition(max(4 * cores, -(-total // TASK_BYTES))) if few or large else rows
 
 
