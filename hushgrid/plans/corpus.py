@@ -34,13 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table; its rows are dealt out first, to tasks of about ``TASK_BYTES``, if it lies in fewer row groups than there are cores, which no
-    reader can split, or if a row group or a split of the reader is more than a task may have. So a task's share doesn't grow with the table."""
+    reader can split, or if a row group or a split of the reader is more than a task may have. So a task's share doesn't grow with the table. Rows
+    go by their place in the files: a task that deals out holds no texts, as it would to sort them for dealing in turn, and does the same again if it is repeated."""
     rows, groups, cores = table(spark, sf_dir, name), row_groups(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     conf = spark._jsparkSession.sessionState().conf()
     total = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), total // cores))
     few, large = groups is not None and len(groups) < cores, max(split, *(groups or [0])) > 4 * TASK_BYTES
-    return rows.repartition(max(4 * cores, -(-total // TASK_BYTES))) if few or large else rows
+    return rows.repartition(max(4 * cores, -(-total // TASK_BYTES)), "_metadata.file_path", "_metadata.row_index") if few or large else rows
 
 
 def planted_line(key: Column) -> Column:
